@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrill.llm import mixing
+from vectrill.llm import decontamination, mixing, sharding
 from vectrill.llm.registry import query
 from vectrill.runtime import table
 
@@ -30,3 +30,38 @@ select doc_id, size, source_size, target, (size * (floor((rank + 1) * each + u)
 @query("op4_mix_sources", MIX_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _normal_words(text: str) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+DECONTAMINATE_SQL = f"""
+with b as (select item_id, {_normal_words("text")} as w from benchmark),
+bs as (select distinct item_id, k, array_to_string(w[i:i + k - 1], ' ') as s from
+  (select item_id, w, least(13, len(w)) as k, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from b where len(w) > 0)),
+d as (select doc_id, {_normal_words("text")} as w from documents),
+dw as (select doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') as s from
+  (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from bs) where len(w) >= k)),
+h as (select doc_id, k, i, item_id from dw join bs using (k, s)),
+n as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from h) group by 1),
+t as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, item_id::varchar as id from h) group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join n using (doc_id) left join t using (doc_id)
+"""
+
+
+@query("op3_decontaminate", DECONTAMINATE_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
+
+
+@query("op10_shard")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return sharding.shard(docs)
