@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrill.llm import decontamination, mixing, sharding
+from vectrill.llm import decontamination, line_crf, mixing, quality_rules, sharding
 from vectrill.llm.registry import query
 from vectrill.runtime import table
 
@@ -65,3 +65,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     return sharding.shard(docs)
+
+
+@query("op1_quality_rules")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    rules = quality_rules.learn_from(docs, labels)
+    return quality_rules.judge(docs, rules).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+
+
+@query("op9_line_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return line_crf.score(docs, line_crf.train_from(docs, labels))
