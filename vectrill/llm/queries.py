@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrill.llm import decontamination, line_crf, mixing, quality_rules, sharding
+from vectrill.llm import decontamination, jaccard_join, line_crf, mixing, quality_rules, sharding
 from vectrill.llm.registry import query
 from vectrill.runtime import table
 
@@ -78,3 +78,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return line_crf.score(docs, line_crf.train_from(docs, labels))
+
+
+@query("op8_jaccard_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
