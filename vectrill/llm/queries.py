@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrill.llm import decontamination, jaccard_join, line_crf, mixing, quality_rules, sharding
+from vectrill.llm import decontamination, html_text, jaccard_join, line_crf, mixing, quality_rules, sharding
 from vectrill.llm.registry import query
 from vectrill.runtime import table
 
@@ -83,3 +83,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_jaccard_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op5_extract_html")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
