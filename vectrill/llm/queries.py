@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrill.llm import decontamination, html_text, jaccard_join, line_crf, mixing, quality_rules, sharding
+from vectrill.llm import decontamination, html_text, jaccard_join, line_crf, lm_scoring, mixing, pii, quality_rules, sharding
 from vectrill.llm.registry import query
 from vectrill.runtime import table
 
@@ -88,3 +88,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_extract_html")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op6_lm_score")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_personal_data")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.train_from(docs))
