@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrill.llm import decontamination, html_text, jaccard_join, line_crf, lm_scoring, mixing, pii, quality_rules, sharding
+from vectrill.llm import decontamination, html_text, jaccard_join, line_crf, lm_scoring, mixing, pii, quality_rules, sharding, token_tree
 from vectrill.llm.registry import query
 from vectrill.runtime import table
 
@@ -99,3 +99,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.detect(docs, pii.train_from(docs))
+
+
+@query("op2_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_tree.count_with_edits(table(spark, sf_dir, "documents"))
