@@ -41,7 +41,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     total = F.sum("source_size").over(everything) * F.lit(share)
     level = (total - F.coalesce(F.sum("most").over(up_to), F.lit(0.0))) / F.sum("weight").over(from_here)
     rows = rows.withColumn("level", level).withColumn("full", F.col("level") * F.col("weight") >= F.col("most"))
-    last = F.min(F.when(~F.col("full"), F.col("level"))).over(everything)
+    last = F.max(F.when(~F.col("full"), F.col("level"))).over(everything)  # levels fall behind the first that is not full
     target = F.when(F.col("full") | last.isNull(), F.col("most")).otherwise(last * F.col("weight"))
     return rows.withColumn("target", target).select("source", "source_size", "weight", "target")
 

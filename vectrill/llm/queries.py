@@ -17,7 +17,7 @@ w as (select *, ([5.0, 2.0, 1.0]::double[])[1 + ((row_number() over (order by so
 l as (select *, (sum(source_size) over () * 1.5::double
     - coalesce(sum(most) over (order by most / weight, source asc nulls last rows between unbounded preceding and 1 preceding), 0))
     / sum(weight) over (order by most / weight, source asc nulls last rows between current row and unbounded following) as level from w),
-f as (select *, min(case when level * weight < most then level end) over () as last from l),
+f as (select *, max(case when level * weight < most then level end) over () as last from l),
 t as (select source, source_size, case when level * weight >= most or last is null then most else last * weight end as target,
   ('0x' || substr(md5(case when source is null then 'mix?' else 'mix=' || source end), 1, 8))::bigint::double / 4294967296.0::double as u from f),
 r as (select d.*, t.source_size, t.target, t.u, case when t.source_size > 0 then t.target / t.source_size else 0 end as each,
