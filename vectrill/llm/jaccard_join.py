@@ -9,14 +9,16 @@ than D words, some word must then be equal (pigeonhole), so documents are joined
 
 * Size bands are octaves of the set size; the sketch's length is in proportion to the octave. A document enters its
   own octave, and the next one if a partner there is possible. Any pair meets in the octave of its larger set.
-* Words made of fewer than ``LEAST`` shingles say too little and are left out. A document is *safe* if it has at
-  least D + 1 words left that are shared by at most ``crowd`` documents, for every partner it may have: then one of
-  these is equal in each partner, and all its pairs are found. Nothing is dropped by that: a pair is looked for
-  further unless one of the two is safe.
+* Words made of fewer than ``LEAST`` shingles say too little and are left out. At most D of a document's words are
+  missing in a partner, so its D + 1 rarest words are enough: put in one order by the number of documents that share
+  them, the first word that two similar documents have in common is among the D + 1 first of both. Words that nobody
+  shares come first and lead to nothing, so that most documents have no candidates at all.
+* A word is crowded if over ``crowd`` documents share it. A document is *safe* if its D + 1 words hold no crowded one;
+  all pairs of a safe document are found through words that aren't crowded.
 * Documents that aren't safe (short ones, and those made of crowded passages) are joined once more by the finest
-  sketch, in which every shingle has a word of its own, with the same rule.
-* What is still not safe consists of crowded shingles by four fifths: groups of many near copies. There each document
-  is compared with the smallest member of its bucket first, and only what isn't connected by then in all other ways.
+  sketch, in which every shingle has a word of its own, with the same rule of the rarest.
+* Crowded shingles that are still needed belong to groups of many near copies. There each document is compared with
+  the smallest of its bucket first, and only what isn't connected by then in all other ways. Nothing is dropped.
 
 Candidates are verified on their whole sets. Equal sets are one node from the start, so that copies are never
 expanded into pairs. Nodes and shingles are 64-bit hashes; n distinct sets make a false match with probability of
@@ -29,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +44,10 @@ SHINGLE = 5
 DENSITY, LEAST, FIRST = 0.6, 2, 64
 FREE = 1 << 30
 _ONE = np.uint64(1)
+#: The lowest bits of a coarse key are its octave.
+_BAND = np.uint64(63)
+#: Bits of the sketch by which candidates are tested before their sets are fetched.
+BITS = 512
 
 
 def shingle_sets(t: Texts, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +104,8 @@ def sketch_words(owner: np.ndarray, h: np.ndarray, octave: np.ndarray, wanted: n
     at = np.flatnonzero(begins)
     count = np.diff(np.append(at, len(h)))
     word = np.bitwise_xor.reduceat(mix64(h ^ np.uint64(0xA0761D6478BD642F)), at)
-    key = mix64(word ^ mix64((octave[owner[at]].astype(np.uint64) << np.uint64(40)) | number[at]))
+    band = octave[owner[at]].astype(np.uint64)
+    key = (mix64(word ^ mix64((band << np.uint64(40)) | number[at])) & ~_BAND) | band
     some = count >= LEAST
     return owner[at][some], key[some]
 
@@ -226,7 +233,7 @@ def _fine(owner, h, n):
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """(key, node, pivot) for keys with two or more nodes, without repetition; pivot is the smallest node of the key.
+    """(key, node) for keys with two or more nodes, without repetition.
 
     One shuffle and a sort that spills; the runs of equal keys are found in passing, in constant memory.
     """
@@ -255,19 +262,22 @@ def buckets(rows: DataFrame) -> DataFrame:
             if goes_on and shown:
                 many[0] = True
             keep = fresh & many[run_of]
-            out_key, out_node, out_pivot = keys[keep], found[keep], pivot[keep]
+            out_key, out_node = keys[keep], found[keep]
             if goes_on and not shown and many[0]:
-                # the pivot's own row came in an earlier batch
-                out_key, out_node, out_pivot = np.append(out_key, key), np.append(out_node, first), np.append(out_pivot, first)
+                # the first node's own row came in an earlier batch
+                out_key, out_node = np.append(out_key, key), np.append(out_node, first)
             if len(out_key):
-                yield pa.RecordBatch.from_arrays([pa.array(out_key), pa.array(out_node), pa.array(out_pivot)], names=["key", "node", "pivot"])
+                yield pa.RecordBatch.from_arrays([pa.array(out_key), pa.array(out_node)], names=["key", "node"])
             key, first, last, shown = keys[-1], firsts[-1], found[-1], bool(many[-1])
 
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long, pivot long")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long")
 
 
 def sets(docs: DataFrame, text: str, k: int, sent) -> DataFrame:
-    """(node, hashes) of the documents whose node passes the filter, once each; hashes are 8-byte integers in order."""
+    """(node, n, bits, hashes) of the documents whose node passes the filter, once each.
+
+    ``hashes`` are 8-byte integers in order; ``bits`` is a parity sketch in which each shingle toggles one bit.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
@@ -278,9 +288,12 @@ def sets(docs: DataFrame, text: str, k: int, sent) -> DataFrame:
                 at = np.searchsorted(owner, np.arange(stop - start + 1))
                 some = np.flatnonzero(wanted)
                 if len(some):
-                    yield pa.RecordBatch.from_arrays([pa.array(prints[some]), pa.array([h[at[i] : at[i + 1]].tobytes() for i in some], pa.binary())], names=["node", "hashes"])
+                    found = [h[at[i] : at[i + 1]] for i in some]
+                    bits = [(np.bincount((x & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).reshape(-1, 64).astype(np.uint64) for x in found]
+                    words = [(b << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64).tolist() for b in bits]
+                    yield pa.RecordBatch.from_arrays([pa.array(prints[some]), pa.array([len(x) for x in found], pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "n", "bits", "hashes"])
 
-    return docs.select(text).mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
+    return docs.select(text).mapInArrow(run, "node long, n long, bits array<long>, hashes binary").dropDuplicates(["node"])
 
 
 def verify(pairs: DataFrame, of: DataFrame, similarity: int = 80) -> DataFrame:
@@ -308,14 +321,39 @@ def verify(pairs: DataFrame, of: DataFrame, similarity: int = 80) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def rarest(rows: DataFrame, slack: DataFrame, crowd: int, limit: int) -> DataFrame:
+    """(key, node, crowded) of the rows that each node needs, for keys that two nodes need.
+
+    ``rows`` are (key, node, band) of shared keys, ``slack`` is (node, band, slack): that many of a node's keys of
+    the band can be spared, and those are its most frequent ones.
+    """
+    counts = materialize(rows.groupBy("key").agg(F.count("*").alias("n")), "counts")
+    found = rows.join(sized(counts, limit), "key").join(slack, ["node", "band"])
+    mine = Window.partitionBy("node", "band")
+    found = found.withColumn("_at", F.row_number().over(mine.orderBy("n", "key"))).withColumn("_all", F.count("*").over(mine))
+    found = materialize(found.where("_at <= _all - slack").select("key", "node", (F.col("n") > crowd).alias("crowded")), "rarest")
+    lonely = found.groupBy("key").agg(F.count("*").alias("n")).where("n = 1").select("key")
+    return found.join(sized(materialize(lonely, "lonely"), limit), "key", "left_anti")
+
+
 def _labelled(rows: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """``rows`` of keys that still hold two components, with each node's label."""
-    found = rows.join(sized(labels, limit), rows["node"] == labels["l_node"], "left").select(*rows.columns, F.coalesce("label", "node").alias("label"))
+    """(key, node, label, least_label) of keys that still hold two components."""
+    found = rows.join(sized(labels, limit), F.col("node") == F.col("l_node"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     found = materialize(found, "labelled")
-    open_keys = found.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("key", F.col("_a").alias("least_label"))
+    open_keys = found.groupBy("key").agg(F.min("label").alias("least_label"), F.max("label").alias("_b")).where("least_label <> _b").drop("_b")
     return materialize(found.join(sized(materialize(open_keys, "open"), limit), "key"), "labelled")
 
 
+def _cross(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """Pairs of nodes of different components under a key whose sketches allow them to be similar."""
+    known = rows.join(of.select("node", "n", "bits"), "node")
+    left = known.select("key", F.col("node").alias("a"), F.col("label").alias("_l"), F.col("n").alias("_n"), F.col("bits").alias("_x"))
+    right = known.select("key", F.col("node").alias("b"), F.col("label").alias("_r"), F.col("n").alias("_m"), F.col("bits").alias("_y"))
+    apart = sum((F.bit_count(F.col("_x")[i].bitwiseXOR(F.col("_y")[i])) for i in range(BITS // 64)), F.lit(0))
+    near = (F.col("a") < F.col("b")) & (F.col("_l") != F.col("_r")) & (F.col("_n") * 5 >= F.col("_m") * 4) & (F.col("_m") * 5 >= F.col("_n") * 4)
+    return left.join(right, (left["key"] == right["key"]) & near & (apart * 9 <= F.col("_n") + F.col("_m"))).select("a", "b").distinct()
+
+
 def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, similarity: int = 80, crowd: int = 32, limit: int = 200_000) -> DataFrame:
     """One row per document: ``key``, ``n_shingles``, ``component_id`` (the smallest key in reach by links).
 
@@ -327,54 +365,46 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         raise ValueError("sketch lengths are laid out for a similarity of 80 per cent or more")
     context = docs.sparkSession.sparkContext
     documents = materialize(nodes(docs, key, text, k), "nodes")
-    coarse = materialize(buckets(_emit(docs, text, k, _coarse)), "coarse")
-    crowded = materialize(coarse.groupBy("key").count().where(F.col("count") > crowd).select("key"), "crowded")
-    in_crowd = coarse.join(sized(crowded, limit), "key", "left_semi").groupBy("node").agg(F.count("*").alias("n"))
-
-    # a word of either octave counts against both allowances, which errs to the safe side
     each = documents.where("node <> 0").groupBy("node").agg(F.min("slack").alias("slack"), F.min("slack_up").alias("slack_up"), F.first("n_shingles").alias("n_shingles"))
-    unsafe = each.join(materialize(in_crowd, "in-crowd"), "node", "left").where("least(slack, slack_up) < coalesce(n, 0)").select("node", "n_shingles")
+    each = materialize(each, "each")
+    own = F.length(F.bin("n_shingles")) - 1
+    bands = each.select("node", F.explode(F.array(F.struct(own.alias("band"), "slack"), F.struct((own + 1).alias("band"), F.col("slack_up").alias("slack")))).alias("s")).select("node", "s.band", "s.slack")
+    coarse = materialize(buckets(_emit(docs, text, k, _coarse)).select("key", "node", F.col("key").bitwiseAND(63).cast("int").alias("band")), "coarse")
+    coarse = materialize(rarest(coarse, bands, crowd, limit), "coarse")
+
+    crowds = coarse.where("crowded").select("node").distinct()
+    unsafe = each.where("least(slack, slack_up) < 0").select("node").union(crowds).distinct().join(each.select("node", "n_shingles"), "node")
     unsafe = materialize(unsafe, "unsafe")
-    fine = materialize(buckets(_emit(docs, text, k, _fine, context.broadcast(Filter.of(unsafe.select("node"))))), "fine")
-    crowded_fine = materialize(fine.groupBy("key").count().where(F.col("count") > crowd).select("key"), "crowded")
-    hot = fine.join(sized(crowded_fine, limit), "key", "left_semi")
-    hot_count = materialize(hot.groupBy("node").agg(F.count("*").alias("n")), "in-crowd")
-    dense = hot_count.join(unsafe, "node").where("n > n_shingles - floor(n_shingles / 5) - 1").select("node")
-    dense = materialize(dense, "dense")
-
-    rows = coarse.union(fine)
+    spare = unsafe.select("node", F.lit(0).alias("band"), (F.col("n_shingles") - F.floor(F.col("n_shingles") / 5) - 1).alias("slack"))
+    fine = buckets(_emit(docs, text, k, _fine, context.broadcast(Filter.of(unsafe.select("node")))))
+    fine = materialize(fine.select("key", "node", F.lit(0).alias("band")), "fine")
+    fine = materialize(rarest(fine, spare, crowd, limit), "fine")
+
+    rows = materialize(coarse.where("not crowded").union(fine), "rows")
     of = materialize(sets(docs, text, k, context.broadcast(Filter.of(materialize(rows.select("node").distinct(), "candidates")))), "sets")
 
-    # first every node with the smallest pivot that it meets: one pair a node joins up most groups
-    stars = rows.groupBy(F.col("node").alias("b")).agg(F.min("pivot").alias("a")).where("a < b")
+    # first every node with the smallest that it meets: one pair a node joins up most groups
+    pivots = materialize(rows.groupBy("key").agg(F.min("node").alias("a")), "pivots")
+    stars = rows.join(sized(pivots, limit), "key").groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a")).where("a < b")
     links = materialize(verify(stars, of, similarity), "links")
 
     def labels() -> DataFrame:
         return materialize(components(links, limit).select(F.col("node").alias("l_node"), "label"), "labels")
 
-    def cross(open_rows: DataFrame) -> DataFrame:
-        left = open_rows.select("key", F.col("node").alias("a"), F.col("label").alias("_l"))
-        right = open_rows.select("key", F.col("node").alias("b"), F.col("label").alias("_r"))
-        return left.join(right, "key").where("a < b and _l <> _r").select("a", "b").distinct()
-
-    # then all pairs of different components in buckets that aren't crowded
-    calm = coarse.join(sized(crowded, limit), "key", "left_anti").union(fine.join(sized(crowded_fine, limit), "key", "left_anti"))
-    open_rows = _labelled(calm, labels(), limit)
-    links = materialize(links.union(verify(cross(open_rows), of, similarity)), "links")
-
-    # crowds of near copies: again and again with the smallest node of another component, then the rest in full
-    packed = materialize(hot.join(sized(dense, limit), "node", "left_semi").select("key", "node", "pivot"), "packed")
-    for _ in range(3):
+    # crowds of near copies: again with the smallest node of another component
+    packed = rows.where("crowded").select("key", "node")
+    for _ in range(2):
+        packed = _labelled(packed.select("key", "node"), labels(), limit)
         if packed.isEmpty():
             break
-        packed = _labelled(packed.select("key", "node", "pivot"), labels(), limit)
         pivots = packed.where("label = least_label").groupBy("key").agg(F.min("node").alias("a"))
         tried = packed.where("label <> least_label").join(sized(materialize(pivots, "pivots"), limit), "key")
         tried = tried.groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a"))
         links = materialize(links.union(verify(tried, of, similarity)), "links")
-    if not packed.isEmpty():
-        packed = _labelled(packed.select("key", "node", "pivot"), labels(), limit)
-        links = materialize(links.union(verify(cross(packed), of, similarity)), "links")
+
+    # then all pairs of components that still are different
+    left = _labelled(rows.where("not crowded").select("key", "node").union(packed.select("key", "node")), labels(), limit)
+    links = materialize(links.union(verify(_cross(left, of), of, similarity)), "links")
 
     final = labels()
     placed = documents.join(sized(final, limit), (documents["node"] == final["l_node"]) & (documents["node"] != 0), "left")
