@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from vectrill.plans import index_queries, search_queries, table_queries  # noqa: E402,F401
+from vectrill.plans import graph_queries, index_queries, search_queries, table_queries  # noqa: E402,F401
