@@ -24,6 +24,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return fn
 
     return add
-
-
-from vectrill.plans import graph_queries, index_queries, search_queries, table_queries  # noqa: E402,F401
