@@ -14,6 +14,3 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return add
-
-
-from vectrill.llm import queries  # noqa: E402,F401
