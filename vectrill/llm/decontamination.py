@@ -146,6 +146,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     if not spans:
         return found.drop("_hit")
 
+    passed = [c for c in found.columns if c != "_hit"]
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
@@ -155,6 +157,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                 where = original_spans(t.as_py()) if len(at) else []
                 cuts = np.flatnonzero(np.diff(at) > 1)
                 out.append([{"begin": where[a][0], "end": where[b][1]} for a, b in zip(at[[0, *(cuts + 1)]], at[[*cuts, -1]], strict=True)] if len(at) else [])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in found.columns if c != "_hit"), pa.array(out, kind)], names=[*(c for c in found.columns if c != "_hit"), prefix + "hit_spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), pa.array(out, kind)], names=[*passed, prefix + "hit_spans"])
 
     return found.mapInArrow(place, found.drop("_hit").withColumn(prefix + "hit_spans", F.lit(None).cast("array<struct<begin:int,end:int>>")).schema)
