@@ -14,13 +14,43 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectrill.functions import distances as D
 from vectrill.operators.transforms import PCA, sample_matrix
 
 
+#: Up to so many numbers of centroids are written into an expression; more are sent to Arrow batches.
+INLINE = 1024
+
+
+def _assign_batches(df: DataFrame, centroids: np.ndarray, vec: str, similarity: bool, name: str) -> DataFrame:
+    kept = [f for f in df.schema.fields if f.name not in (name, "dis")]
+    names = [f.name for f in kept]
+    schema = T.StructType([*kept, T.StructField(name, T.IntegerType()), T.StructField("dis", T.DoubleType())])
+    sent = df.sparkSession.sparkContext.broadcast(centroids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = sent.value
+        norms = (c * c).sum(axis=1)
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = batch.column(vec).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
+            d = x @ c.T
+            near = d.argmax(axis=1) if similarity else (norms - 2 * d).argmin(axis=1)
+            dis = d[np.arange(len(x)), near] if similarity else ((x - c[near]) ** 2).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(near.astype(np.int32)), pa.array(dis)], names=[*names, name, "dis"])
+
+    return df.where(F.col(vec).isNotNull()).select(*names).mapInArrow(run, schema)
+
+
 def assign_to(df: DataFrame, centroids: np.ndarray, vec: str = "vec", similarity: bool = False, name: str = "list_no") -> DataFrame:
-    """``df`` with the number of the nearest centroid (the smaller of equals) and ``dis``, as expressions."""
+    """``df`` with the number of the nearest centroid (the smaller of equals) and ``dis``: as expressions for few
+    centroids, by matrix products in Arrow batches for many."""
+    centroids = np.asarray(centroids, float)
+    if centroids.size > INLINE:
+        return _assign_batches(df, centroids, vec, similarity, name)
     v = D.as_double(F.col(vec))
     f = D.inner_product if similarity else D.l2
     rows = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centroids])

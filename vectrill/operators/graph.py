@@ -229,11 +229,12 @@ def neighbour_descent(base: DataFrame, k: int, rounds: int = 8, sample: int = 10
         b = vectors.select(F.col("id").alias("dst"), F.col("vec").alias("_y"))
         return pairs.join(a, "src").join(b, "dst").select("src", "dst", D.l2(F.col("_x"), F.col("_y")).alias("dis"))
 
-    # a start from neighbours in an order by hash, a few places apart
-    order = vectors.select("id", F.xxhash64("id", F.lit(7)).alias("h"))
-    buckets = max(1, n // (2 * wide))
-    start = order.withColumn("_b", F.pmod("h", F.lit(buckets)))
-    links = start.select(F.col("id").alias("src"), "_b").join(start.select(F.col("id").alias("dst"), "_b"), "_b").where("src <> dst").select("src", "dst")
+    # a start from the members of buckets of two unrelated hashes, so that the buckets hang together
+    buckets, links = max(1, n // wide), None
+    for seed in (7, 8):
+        start = vectors.select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(buckets)).alias("_b"))
+        found = start.select(F.col("id").alias("src"), "_b").join(start.select(F.col("id").alias("dst"), "_b"), "_b").where("src <> dst").select("src", "dst")
+        links = found if links is None else links.union(found).distinct()
     graph = materialize(_keep(measured(links), wide).withColumn("new", F.lit(True)), "graph")
     for _ in range(rounds):
         near = Window.partitionBy("at").orderBy("_new_first", "dis", "other")

@@ -194,10 +194,11 @@ _R1, _R2 = (f"select * from ({sql.cross(sql.l2(Q, E))}) where dis < {r}" for r i
 
 @query("range_precision_recall", f"""with r as ({_R1}), t as ({_R2}), q as (select vec_id as qid from embeddings where vec_id < 10),
 n as (select qid, (select count(*) from r where r.qid = q.qid) as r, (select count(*) from t where t.qid = q.qid) as t, (select count(*) from r join t using (qid, id) where qid = q.qid) as b from q)
-select avg(case when r > 0 then b::double / r else 1.0::double end) as precision, avg(case when t > 0 then b::double / t when r = 0 then 1.0::double else 0.0::double end) as recall from n""")
+select round(avg(case when r > 0 then b::double / r else 1.0::double end), 9) as precision, round(avg(case when t > 0 then b::double / t when r = 0 then 1.0::double else 0.0::double end), 9) as recall from n""")
 def range_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
-    return Ev.range_quality(S.range_join(asked(b), b, 1.6), S.range_join(asked(b), b, 1.5), asked(b), per_query=True)
+    found = Ev.range_quality(S.range_join(asked(b), b, 1.6), S.range_join(asked(b), b, 1.5), asked(b), per_query=True)
+    return found.select(F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 
 
 @query("range_overall_quality", f"select (select count(*) from ({_R2}))::double / (select count(*) from ({_R1})) as precision, 1.0::double as recall")

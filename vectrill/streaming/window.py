@@ -81,7 +81,9 @@ def assign_stream(stream: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 def windowed_assignments(events: DataFrame, centroids: np.ndarray, length: str = "10 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """(begin, list_no, n, mean_dis) of event-time windows, over a stream or a table with ``ts`` and ``vec``."""
-    assigned = assign_to(events.withWatermark("ts", late) if events.isStreaming else events, centroids)
+    if events.isStreaming:  # watermarks need a timestamp with a time zone
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    assigned = assign_to(events, centroids)
     grouped = assigned.groupBy(F.window("ts", length, slide or length).alias("w"), "list_no")
     return grouped.agg(F.count("*").alias("n"), F.avg("dis").alias("mean_dis")).select(F.col("w.start").alias("begin"), "list_no", "n", "mean_dis")
 
