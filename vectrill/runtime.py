@@ -36,17 +36,39 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/vectrill-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._written_path = path
+    return written
+
+
+def mark() -> int:
+    """Where the list of written tables ends now, for :func:`discard`."""
+    return len(_WRITTEN)
+
+
+def discard(since: int, *keep: DataFrame) -> None:
+    """Delete the tables written since a mark, but for those in ``keep``. Nothing that is still to run may read them."""
+    kept = {df._written_path for df in keep}
+    tail = _WRITTEN[since:]
+    del _WRITTEN[since:]
+    for spark, path in tail:
+        if path in kept:
+            _WRITTEN.append((spark, path))
+        else:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release() -> None:
     """Delete every table that :func:`materialize` wrote."""
     while _WRITTEN:
-        spark, path = _WRITTEN.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(*_WRITTEN.pop())
         except Exception:  # the session may be gone at exit
             if os.environ.get("VECTRILL_DEBUG"):
                 raise
