@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vectrill.llm import decontamination, jaccard_join, mixing, quality_rules, sharding
 from vectrill.llm.components import sized
-from vectrill.runtime import materialize, table
+from vectrill.runtime import discard, mark, materialize, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +72,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, start = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        discard(start, docs)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from vectrill.llm.components import components, sized
 from vectrill.llm.textbuf import LOWER, Texts, cut, mix64, no_nulls, runs
-from vectrill.runtime import materialize
+from vectrill.runtime import discard, mark, materialize
 
 SHINGLE = 5
 #: Words of a sketch per element of the lower end of its octave; fewest shingles of a word; smallest octave.
@@ -363,7 +363,7 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     """
     if similarity < 80:
         raise ValueError("sketch lengths are laid out for a similarity of 80 per cent or more")
-    context = docs.sparkSession.sparkContext
+    context, start = docs.sparkSession.sparkContext, mark()
     documents = materialize(nodes(docs, key, text, k), "nodes")
     each = documents.where("node <> 0").groupBy("node").agg(F.min("slack").alias("slack"), F.min("slack_up").alias("slack_up"), F.first("n_shingles").alias("n_shingles"))
     each = materialize(each, "each")
@@ -389,7 +389,10 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     links = materialize(verify(stars, of, similarity), "links")
 
     def labels() -> DataFrame:
-        return materialize(components(links, limit).select(F.col("node").alias("l_node"), "label"), "labels")
+        inner = mark()
+        found = materialize(components(links, limit).select(F.col("node").alias("l_node"), "label"), "labels")
+        discard(inner, found)
+        return found
 
     # crowds of near copies: again with the smallest node of another component
     packed = rows.where("crowded").select("key", "node")
@@ -411,4 +414,5 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     placed = placed.select(key, "n_shingles", F.coalesce("label", "node").alias("_component"))
     groups = placed.where("_component <> 0").groupBy("_component").agg(F.min(key).alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     groups = materialize(groups, "groups")
+    discard(start, documents, final, groups)
     return placed.join(sized(groups, limit), "_component", "left").select(key, "n_shingles", F.coalesce("_least", F.col(key)).alias("component_id"))
