@@ -198,3 +198,29 @@ def knn_1d(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     pairs = base.crossJoin(queries).select("qid", "id", F.abs(F.col("x") - F.col("q")).alias("dis"), (F.col("x") < F.col("q")).cast("int").alias("_left"))
     order = Window.partitionBy("qid").orderBy("dis", "_left", "id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "id", "dis")
+
+
+def with_centroids(index: Inverted, base: DataFrame, centroids: np.ndarray) -> Inverted:
+    """The same rows under another coarse quantizer."""
+    return Inverted.build(base, centroids, index.which, index.residual)
+
+
+def search_two_views(queries: DataFrame, base: DataFrame, centroids: np.ndarray, k: int, nprobe: int, which: str = "l2") -> DataFrame:
+    """Lists by one vector column (``coarse_vec``, ``qcoarse``), distances by another (``vec``, ``qvec``)."""
+    similarity = D.metric(which).similarity
+    lists = assign_to(base, np.asarray(centroids, float), "coarse_vec", similarity).drop("dis", "coarse_vec")
+    table = base.sparkSession.createDataFrame([(i, np.asarray(c, float).tolist()) for i, c in enumerate(centroids)], "list_no int, centroid array<double>")
+    probes = probe(queries.select("qid", F.col("qcoarse").alias("qvec")), table, nprobe, which).select("qid", "list_no")
+    found = probes.join(queries.select("qid", "qvec"), "qid").join(lists, "list_no")
+    m = D.metric(which)
+    return top_k(found.select("qid", "id", m(F.col("qvec"), F.col("vec")).alias("dis")), k, descending=similarity).select("qid", "rank", "id", "dis")
+
+
+def random_results(queries: DataFrame, n: int, k: int, seed: int = 1234) -> DataFrame:
+    """k pseudo-random ids below ``n`` for each query, with increasing distances: a stand-in for tests."""
+    from vectrill.functions.random import integers, uniform
+
+    ranks = queries.select("qid", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
+    step = ranks.select("qid", "rank", integers(seed, n, F.col("qid"), F.col("rank")).alias("id"), uniform(seed + 1, F.col("qid"), F.col("rank")).alias("_s"))
+    w = Window.partitionBy("qid").orderBy("rank")
+    return step.select("qid", "rank", "id", F.sum("_s").over(w).alias("dis"))

@@ -136,3 +136,18 @@ def intersection_sizes(left: DataFrame, right: DataFrame) -> DataFrame:
     """How many ids two result tables (qid, id) have in common, by query."""
     common = left.select("qid", "id").join(right.select("qid", "id"), ["qid", "id"], "left_semi").groupBy("qid").agg(F.count("*").alias("n"))
     return left.select("qid").distinct().join(common, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def lists_by_size(lists: DataFrame, list_no: str = "list_no") -> DataFrame:
+    """List numbers given anew, the largest list first (the smaller old number of equals), with ``old_list_no``."""
+    sizes = lists.groupBy(list_no).agg(F.count("*").alias("_n"))
+    place = (F.row_number().over(Window.orderBy(F.col("_n").desc(), F.col(list_no))) - 1).alias("_new")
+    order = sizes.select(F.col(list_no).alias("old_list_no"), place)
+    # a row per list
+    renamed = lists.withColumnRenamed(list_no, "old_list_no").join(F.broadcast(order), "old_list_no")
+    return renamed.withColumnRenamed("_new", list_no)
+
+
+def reorder(df: DataFrame, order: DataFrame) -> DataFrame:
+    """Rows renumbered: ``order`` is (id, new_id)."""
+    return df.join(order, "id").drop("id").withColumnRenamed("new_id", "id")

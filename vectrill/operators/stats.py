@@ -66,3 +66,10 @@ def bins(df: DataFrame, column: str, low: float, high: float, n: int) -> DataFra
     """Counts in ``n`` equal bins; the outer ones take what is beyond."""
     at = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((F.col(column) - low) / ((high - low) / n)))).cast("int")
     return df.groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def hash_collisions(df: DataFrame, vec: str = "vec", bits: int = 16) -> DataFrame:
+    """(n_distinct, n_hashes, n_collision): different rows that fall on one hash of ``bits`` bits."""
+    digest = F.substring(F.md5(F.concat_ws(",", F.col(vec).cast("array<string>"))), 1, bits // 4)
+    rows = df.select(F.col(vec).alias("v"), digest.alias("h")).distinct()
+    return rows.agg(F.count("*").alias("n_distinct"), F.count_distinct("h").alias("n_hashes")).withColumn("n_collision", F.col("n_distinct") - F.col("n_hashes"))
