@@ -28,13 +28,13 @@ def hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("hnsw_recall")
 def hnsw_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
-    return Ev.knn_intersection(G.graph_knn(asked(b, "id < 50"), b, 10), S.knn(asked(b, "id < 50"), b, 10), 10)
+    return Ev.knn_intersection(G.graph_knn(asked(b), b, 10), S.knn(asked(b), b, 10), 10)
 
 
 @query("nsg_recall")
 def nsg_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
-    return Ev.knn_intersection(G.graph_knn(asked(b, "id < 50"), b, 10, kind="nsg"), S.knn(asked(b, "id < 50"), b, 10), 10)
+    return Ev.knn_intersection(G.graph_knn(asked(b), b, 10, kind="nsg"), S.knn(asked(b), b, 10), 10)
 
 
 @query("hnsw_edges")
@@ -88,20 +88,21 @@ def polysemous_training(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("knn_self_graph", """select src, rank::int as rank, dst, dis from (select *, row_number() over (partition by src order by dis, dst) as rank from (select q.vec_id as src, e.vec_id as dst,
  list_reduce(list_prepend(0.0::double, list_transform(list_zip(q.embedding, e.embedding), lambda x: (x[1]::double - x[2]::double) * (x[1]::double - x[2]::double))), lambda s, x: s + x) as dis
- from embeddings q, embeddings e where q.vec_id <> e.vec_id and q.vec_id < 100)) where rank <= 3""")
+ from embeddings q, embeddings e where q.vec_id <> e.vec_id and q.vec_id % 20 = 0)) where rank <= 3""")
 def knn_self_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
-    pairs = S.all_pairs(asked(b, "id < 100"), b).where("qid <> id")
+    pairs = S.all_pairs(asked(b), b).where("qid <> id")
     return S.top_k(pairs, 3).select(F.col("qid").alias("src"), "rank", F.col("id").alias("dst"), "dis")
 
 
-@query("sliding_window_step", "select vec_id as id, (vec_id // 50)::int as slice_id from embeddings where vec_id // 50 between 5 and 7")
+@query("sliding_window_step", "select vec_id as id, (vec_id * 10 // n)::int as slice_id from embeddings, (select count(*) as n from embeddings) where vec_id * 10 // n >= 7")
 def sliding_window_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three slices are alive after the eighth has come."""
+    """The table comes in ten slices; the last three are alive in the end."""
     b = base(spark, sf_dir)
+    n = b.count()
     index_ = T.SlidingIndex(spark, f"{shared_dir(spark)}/sliding-{np.random.default_rng().integers(1 << 60)}")
-    for s in range(8):
-        index_.step(b.where(F.floor(F.col("id") / 50) == s).select("id"), remove_oldest=s >= 3)
+    for s in range(10):
+        index_.step(b.where(F.floor(F.col("id") * 10 / n) == s).select("id"), remove_oldest=s >= 3)
     return index_.rows().select("id", F.col("slice_id").cast("int").alias("slice_id"))
 
 

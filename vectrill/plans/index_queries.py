@@ -48,12 +48,12 @@ def linear_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.Linear(np.array(_MATRIX), np.array(_BIAS)).apply(base(spark, sf_dir)).select("id", "vec")
 
 
-@query("pca_mean_cov", """with x as (select vec_id, unnest(embedding)::double as x, (generate_subscripts(embedding, 1) - 1)::int as i from embeddings), c as (select * from x where i < 8)
+@query("pca_mean_cov", """with x as (select vec_id, unnest(embedding)::double as x, (generate_subscripts(embedding, 1) - 1)::int as i from embeddings), c as (select * from x)
 select a.i, b.i as j, round(avg(a.x * b.x) - avg(a.x) * avg(b.x), 6) + 0.0 as cov from c a join c b using (vec_id) group by all""")
 def pca_mean_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
-    _, cov, _ = P.mean_and_covariance(b.withColumn("vec", F.slice("vec", 1, 8)))
-    rows = [(i, j, float(cov[i, j])) for i in range(8) for j in range(8)]
+    _, cov, _ = P.mean_and_covariance(b)
+    rows = [(i, j, float(cov[i, j])) for i in range(len(cov)) for j in range(len(cov))]
     return spark.createDataFrame(rows, "i int, j int, cov double").withColumn("cov", F.round("cov", 6) + F.lit(0.0))
 
 
@@ -140,7 +140,7 @@ for _n, _b, _u in (("sq8_roundtrip", 8, False), ("sq4_roundtrip", 4, False), ("s
     _register_sq(_n, _b, _u)
 
 
-@query("knn_sq8", sql.top(f"with s as ({_sq_sql(255)}) select q.vec_id as qid, s.id, {sql.l2('q.embedding', 's.vec')} as dis from embeddings q, s where q.vec_id < 10", 5))
+@query("knn_sq8", sql.top(f"with s as ({_sq_sql(255)}) select q.vec_id as qid, s.id, {sql.l2('q.embedding', 's.vec')} as dis from embeddings q, s where q.vec_id % 20 = 0", 5))
 def knn_sq8(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir).select("id", "vec")
     sq = ScalarQuantizer(8).fit(b)
@@ -214,7 +214,7 @@ _register_binary("binary_knn", sql.top(_HPAIRS, 5), lambda b: B.knn(asked(b), b,
 _register_binary("knn_lsh", sql.top(_HPAIRS, 10), lambda b: B.knn(asked(b), b, 10))
 _register_binary("binary_range", f"select * from ({_HPAIRS}) where dis < 24", lambda b: B.range_join(asked(b), b, 24))
 _register_binary("hamming_count_pairs", f"select count(*) as n from ({_HPAIRS}) where dis <= 22", lambda b: B.count_pairs(asked(b), b, 22))
-_register_binary("hamming_self_pairs", f"select count(*) as n from ({sql.cross(_HAMMING, 'q.vec_id < e.vec_id', 'q.vec_id < 100')}) where dis <= 20 and id < 100", lambda b: B.count_own_pairs(b.where("id < 100"), 20))
+_register_binary("hamming_self_pairs", f"select count(*) as n from ({sql.cross(_HAMMING, 'q.vec_id < e.vec_id', 'true')}) where dis <= 20", lambda b: B.count_own_pairs(b, 20))
 _register_binary("hamming_histogram", f"select dis, count(*) as n from ({_HPAIRS}) group by dis", lambda b: S.all_pairs(asked(b), b, "hamming").groupBy("dis").agg(F.count("*").alias("n")))
 _register_binary("real_to_binary", "select vec_id as id, list_transform(embedding, lambda v: case when v >= 0 then 1.0::double else -1.0::double end) as vec from embeddings", lambda b: b.select("id", V.signs_of(V.unpack_words(F.col("vec"), 64)).alias("vec")))
 
@@ -252,7 +252,7 @@ def bit_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("binary_ivf", f"""with c as (select vec_id as list_no, embedding as c from embeddings where vec_id < 8),
 h as (select e.vec_id as id, e.embedding as v, list_no, {_HAMMING.replace('e.embedding', 'c.c').replace('q.embedding', 'e.embedding')} as d from embeddings e, c),
 own as (select id, v, list_no from h qualify row_number() over (partition by id order by d, list_no) = 1),
-p as (select id as qid, v as qv, list_no from h where id < 10 qualify row_number() over (partition by id order by d, list_no) <= 3)
+p as (select id as qid, v as qv, list_no from h where id % 20 = 0 qualify row_number() over (partition by id order by d, list_no) <= 3)
 {sql.top("select qid, own.id, " + _HAMMING.replace('q.embedding', 'qv').replace('e.embedding', 'own.v') + " as dis from p join own using (list_no)", 5)}""")
 def binary_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bits(base(spark, sf_dir)).select("id", "vec")
@@ -280,7 +280,7 @@ def rabitq_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rabitq.encode(b, _center(b)).select("id", "bits", "or_c", "ip_oc", "multiplier")
 
 
-@query("knn_rabitq", f"""with c as ({_RABITQ}), m as materialized (select {_MEAN} as m), q as (select vec_id as qid, {_RES} as r from embeddings, m where vec_id < 10),
+@query("knn_rabitq", f"""with c as ({_RABITQ}), m as materialized (select {_MEAN} as m), q as (select vec_id as qid, {_RES} as r from embeddings, m where vec_id % 20 = 0),
 p as (select qid, id, or_c + {sql.fold("list_transform(q.r, lambda v: v * v)")} - 2.0::double * multiplier * ({sql.fold(sql.zipped('c.bits', 'q.r', '(({x} + 0.5 - 1) * 2) * {y}'))} / sqrt(64.0::double)) as dis from q, c)
 {sql.top('select qid, id, round(dis, 6) + 0.0 as dis from p', 5)}""")
 def knn_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,7 +394,7 @@ _LISTS = """c as (select label as list_no, list(m order by j) as c from (select
 def _ivf_sql(tail: str, nprobe: int = 2, f=sql.l2, more: str = "") -> str:
     down = " desc" if f is sql.ip else ""
     return f"""with {_LISTS}, own as materialized (select vec_id as id, embedding as vec, list_no from embeddings, c qualify row_number() over (partition by vec_id order by {f('embedding', 'c')}{down}, list_no) = 1),
-p as materialized (select vec_id as qid, embedding as qvec, list_no, c, {f('embedding', 'c')} as coarse, row_number() over (partition by vec_id order by {f('embedding', 'c')}{down}, list_no) as probe from embeddings, c where vec_id < 10 qualify probe <= {nprobe}){more}
+p as materialized (select vec_id as qid, embedding as qvec, list_no, c, {f('embedding', 'c')} as coarse, row_number() over (partition by vec_id order by {f('embedding', 'c')}{down}, list_no) as probe from embeddings, c where vec_id % 20 = 0 qualify probe <= {nprobe}){more}
 {tail}"""
 
 
@@ -440,11 +440,13 @@ def ivf_max_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(b).search(asked(b), 5, 4, most_rows=80)
 
 
-@query("ivf_preassigned", _ivf_sql(sql.top(_JOIN.replace("from p", "from (select * from p where list_no % 2 = 0) p"), 5, extra=", list_no"), 4))
+@query("ivf_preassigned", _ivf_sql(sql.top("select qid, own.id, list_no, " + sql.l2("qvec", "vec") + " as dis from w join own using (list_no)", 5, extra=", list_no"),
+       more=f", w as materialized (select vec_id as qid, embedding as qvec, list_no from embeddings, c where vec_id % 20 = 0 qualify row_number() over (partition by vec_id order by {sql.ip('embedding', 'c')} desc, list_no) <= 3)"))
 def ivf_preassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The caller chooses the lists: here those of the largest inner products, for a search by distance."""
     b = base(spark, sf_dir)
     ivf = index(b)
-    probes = ivf.probe(asked(b), 4).where("list_no % 2 = 0")
+    probes = I.probe(asked(b), ivf.centroids, 3, "ip")
     return top_k(ivf.scan(probes), 5).select("qid", "rank", "id", "dis", "list_no")
 
 
@@ -481,10 +483,10 @@ def ivf_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf.scan(probes).agg(F.count_distinct("qid").alias("nq"), F.count("*").alias("ndis")).crossJoin(probes.agg(F.count("*").alias("nlist")))
 
 
-@query("reconstruct_join", "select vec_id as id, embedding as vec from embeddings where vec_id in (3, 50, 77)")
+@query("reconstruct_join", "select vec_id as id, embedding as vec from embeddings where vec_id % 20 = 0")
 def reconstruct_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
-    return index(b).reconstruct(b.where("id in (3, 50, 77)")).select("id", "vec")
+    return index(b).reconstruct(b.where("id % 20 = 0")).select("id", "vec")
 
 
 @query("ivf_sq8", _ivf_sql(sql.top(f"select qid, s.id, list_no, {sql.l2('qvec', 's.v')} as dis from p join (select id, list_no, list_transform(vec, lambda x: -1.0::double + (floor(least(greatest((x::double - -1.0) / 2.0, 0.0), 1.0) * 255)::int::double + 0.5) / 255 * 2.0) as v from own) s using (list_no)", 5, extra=", list_no")))
@@ -499,7 +501,7 @@ def ivf_sq8(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DOUBLED = "(select vec_id, embedding from embeddings union all select vec_id + 10000, embedding from embeddings where vec_id % 5 = 0)"
 
 
-@query("ivf_dedup", sql.top(f"select q.vec_id as qid, e.vec_id as id, {sql.l2(Q, E)} as dis from embeddings q, {_DOUBLED} e where q.vec_id < 10", 6))
+@query("ivf_dedup", sql.top(f"select q.vec_id as qid, e.vec_id as id, {sql.l2(Q, E)} as dis from embeddings q, {_DOUBLED} e where q.vec_id % 20 = 0", 6))
 def ivf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir).select("id", "vec")
     distinct, instances = I.deduplicate(b.union(b.where("id % 5 = 0").withColumn("id", F.col("id") + 10000)))
@@ -527,10 +529,10 @@ def refine_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("flat_1d", """select qid, rank::int as rank, id, dis from (select q.vec_id as qid, e.vec_id as id, abs(e.embedding[1]::double - q.embedding[1]::double) as dis,
- row_number() over (partition by q.vec_id order by abs(e.embedding[1]::double - q.embedding[1]::double), (e.embedding[1]::double < q.embedding[1]::double)::int, e.vec_id) as rank from embeddings q, embeddings e where q.vec_id < 10) where rank <= 4""")
+ row_number() over (partition by q.vec_id order by abs(e.embedding[1]::double - q.embedding[1]::double), (e.embedding[1]::double < q.embedding[1]::double)::int, e.vec_id) as rank from embeddings q, embeddings e where q.vec_id % 20 = 0) where rank <= 4""")
 def flat_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir).select("id", F.col("vec")[0].cast("double").alias("x"))
-    return I.knn_1d(b.where("id < 10").select(F.col("id").alias("qid"), F.col("x").alias("q")), b, 4)
+    return I.knn_1d(b.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("x").alias("q")), b, 4)
 
 
 # ---- codebooks: the first 2**bits vectors' parts
@@ -556,7 +558,7 @@ def pq_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _adc(f) -> str:
     terms = " + ".join(f"(select {f(f'q.embedding[{i * 16 + 1}:{(i + 1) * 16}]', f'k.embedding[{i * 16 + 1}:{(i + 1) * 16}]')} from embeddings k where k.vec_id = code[{i + 1}])" for i in range(4))
-    return f"with c as materialized ({_pq_codes(4, 16, 16)}) {sql.top(f'select q.vec_id as qid, c.id, 0.0::double + {terms} as dis from embeddings q, c where q.vec_id < 10', 5, descending=f is sql.ip)}"
+    return f"with c as materialized ({_pq_codes(4, 16, 16)}) {sql.top(f'select q.vec_id as qid, c.id, 0.0::double + {terms} as dis from embeddings q, c where q.vec_id % 20 = 0', 5, descending=f is sql.ip)}"
 
 
 def _register_adc(name: str, product: bool) -> None:
@@ -574,12 +576,12 @@ _register_adc("pq_adc_ip", True)
 
 
 @query("pq_sdc_knn", "with c as materialized (" + _pq_codes(4, 16, 16) + ") " + sql.top("select q.id as qid, c.id, 0.0::double + " + " + ".join(
-    f"(select {sql.l2(f'a.embedding[{i * 16 + 1}:{(i + 1) * 16}]', f'k.embedding[{i * 16 + 1}:{(i + 1) * 16}]')} from embeddings a, embeddings k where a.vec_id = q.code[{i + 1}] and k.vec_id = c.code[{i + 1}])" for i in range(4)) + " as dis from c q, c where q.id < 10", 5))
+    f"(select {sql.l2(f'a.embedding[{i * 16 + 1}:{(i + 1) * 16}]', f'k.embedding[{i * 16 + 1}:{(i + 1) * 16}]')} from embeddings a, embeddings k where a.vec_id = q.code[{i + 1}] and k.vec_id = c.code[{i + 1}])" for i in range(4)) + " as dis from c q, c where q.id % 20 = 0", 5))
 def pq_sdc_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
     pq = ProductQuantizer(4, 4, _books(b, 4, 16))
     coded = b.select("id", pq.code(F.col("vec")).alias("code"))
-    q = coded.where("id < 10").select(F.col("id").alias("qid"), pq.value(F.col("code")).alias("qvec"))
+    q = coded.where("id % 20 = 0").select(F.col("id").alias("qid"), pq.value(F.col("code")).alias("qvec"))
     tables = q.select("qid", F.array(*[pq.table(F.col("qvec"), i) for i in range(4)]).alias("tables"))
     return top_k(coded.crossJoin(F.broadcast(tables)).select("qid", "id", pq.distances(F.col("tables"), F.col("code")).alias("dis")), 5).select("qid", "rank", "id", "dis")
 
@@ -587,18 +589,18 @@ def pq_sdc_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CODE_HAMMING = "list_sum(list_transform(list_zip(q.code, c.code), lambda z: bit_count(xor(z[1], z[2]))))::int"
 
 
-@query("pq_polysemous_filter", "with c as materialized (" + _pq_codes(4, 16, 16) + f") select q.id as qid, c.id, {_CODE_HAMMING} as dis from c q, c where q.id < 10 and {_CODE_HAMMING} < 5")
+@query("pq_polysemous_filter", "with c as materialized (" + _pq_codes(4, 16, 16) + f") select q.id as qid, c.id, {_CODE_HAMMING} as dis from c q, c where q.id % 20 = 0 and {_CODE_HAMMING} < 5")
 def pq_polysemous_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs whose codes differ in fewer bits than a threshold: the filter ahead of the dearer distance."""
     b = base(spark, sf_dir)
     pq = ProductQuantizer(4, 4, _books(b, 4, 16))
     coded = b.select("id", pq.code(F.col("vec")).alias("code"))
-    q = coded.where("id < 10").select(F.col("id").alias("qid"), F.col("code").alias("qcode"))
+    q = coded.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("code").alias("qcode"))
     apart = F.aggregate(F.zip_with("qcode", "code", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return coded.crossJoin(F.broadcast(q)).select("qid", "id", apart.alias("dis")).where("dis < 5")
 
 
-_IMI = " , ".join(f"t{s} as (select q.vec_id as qid, k.vec_id as j, {sql.l2(f'q.embedding[{s * 32 + 1}:{s * 32 + 32}]', f'k.embedding[{s * 32 + 1}:{s * 32 + 32}]')} as d from embeddings q, embeddings k where q.vec_id < 10 and k.vec_id < 8)" for s in range(2))
+_IMI = " , ".join(f"t{s} as (select q.vec_id as qid, k.vec_id as j, {sql.l2(f'q.embedding[{s * 32 + 1}:{s * 32 + 32}]', f'k.embedding[{s * 32 + 1}:{s * 32 + 32}]')} as d from embeddings q, embeddings k where q.vec_id % 20 = 0 and k.vec_id < 8)" for s in range(2))
 
 
 @query("imi_assign", f"with {_IMI} select qid, rank::int as probe, list_no, dis from (select qid, (t0.j | (t1.j << 3))::bigint as list_no, 0.0::double + t0.d + t1.d as dis, row_number() over (partition by qid order by 0.0::double + t0.d + t1.d, (t0.j | (t1.j << 3))) as rank from t0 join t1 using (qid)) where rank <= 6")

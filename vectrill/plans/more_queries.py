@@ -80,13 +80,13 @@ _HALF = "list_transform({}, lambda v: v::double)"
 
 @query("ivf_two_views", f"""with c as (select vec_id::int as list_no, {_HALF.format('embedding[1:16]')} as c from embeddings where vec_id < 8),
 own as materialized (select vec_id as id, embedding as vec, list_no from embeddings, c qualify row_number() over (partition by vec_id order by {sql.l2('embedding[1:16]', 'c')}, list_no) = 1),
-p as materialized (select vec_id as qid, embedding as qvec, list_no from embeddings, c where vec_id < 10 qualify row_number() over (partition by vec_id order by {sql.l2('embedding[1:16]', 'c')}, list_no) <= 3)
+p as materialized (select vec_id as qid, embedding as qvec, list_no from embeddings, c where vec_id % 20 = 0 qualify row_number() over (partition by vec_id order by {sql.l2('embedding[1:16]', 'c')}, list_no) <= 3)
 {sql.top('select qid, own.id, ' + sql.l2('qvec', 'vec') + ' as dis from p join own using (list_no)', 5)}""")
 def ivf_two_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The coarse quantizer sees the first 16 dimensions only."""
     b = base(spark, sf_dir).select("id", "vec", D.as_double(F.slice("vec", 1, 16)).alias("coarse_vec"))
     centroids = np.array([r["coarse_vec"] for r in b.where("id < 8").orderBy("id").collect()])
-    q = b.where("id < 10").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), F.col("coarse_vec").alias("qcoarse"))
+    q = b.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), F.col("coarse_vec").alias("qcoarse"))
     return I.search_two_views(q, b, centroids, 5, 3)
 
 

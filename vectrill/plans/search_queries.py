@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectrill.functions import distances as D
@@ -20,7 +20,8 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
 
 
-def asked(of: DataFrame, where: str = "id < 10") -> DataFrame:
+def asked(of: DataFrame, where: str = "id % 20 = 0") -> DataFrame:
+    """The query set of all searches: every row whose id is divisible by 20, against all rows."""
     return of.where(where).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
 
 
@@ -122,28 +123,25 @@ def range_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("range_lims", f"""select q.vec_id as qid, coalesce(n, 0)::bigint as n, sum(coalesce(n, 0)) over (order by q.vec_id)::bigint as lims from embeddings q left join
- (select qid, count(*) as n from ({sql.cross(sql.l2(Q, E))}) where dis < 1.5 group by qid) r on r.qid = q.vec_id where q.vec_id < 10""")
+ (select qid, count(*) as n from ({sql.cross(sql.l2(Q, E))}) where dis < 1.5 group by qid) r on r.qid = q.vec_id where q.vec_id % 20 = 0""")
 def range_lims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result sizes and their running sum, as offsets into the concatenated results."""
     b = base(spark, sf_dir)
     n = S.range_join(asked(b), b, 1.5).groupBy("qid").agg(F.count("*").alias("n"))
     every = asked(b).select("qid").join(n, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    return every.withColumn("lims", F.sum("n").over(S_Window.orderBy("qid")))
+    return every.withColumn("lims", F.sum("n").over(Window.orderBy("qid")))
 
 
-from pyspark.sql import Window as S_Window  # noqa: E402
-
-
-@query("pairwise_l2", f"select q.vec_id as qid, e.vec_id as id, {sql.l2(Q, E)} as dis from embeddings q, embeddings e where q.vec_id < 8 and e.vec_id < 40")
+@query("pairwise_l2", f"select q.vec_id as qid, e.vec_id as id, {sql.l2(Q, E)} as dis from embeddings q, embeddings e where q.vec_id % 20 = 0")
 def pairwise_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
-    return S.all_pairs(asked(b, "id < 8"), b, selector=W.IdRange(0, 40))
+    return S.all_pairs(asked(b), b)
 
 
-@query("l2_from_product", f"select q.vec_id as qid, e.vec_id as id, {sql.norm2(Q)} + {sql.norm2(E)} - 2 * {sql.ip(Q, E)} as dis from embeddings q, embeddings e where q.vec_id < 8 and e.vec_id < 40")
+@query("l2_from_product", f"select q.vec_id as qid, e.vec_id as id, {sql.norm2(Q)} + {sql.norm2(E)} - 2 * {sql.ip(Q, E)} as dis from embeddings q, embeddings e where q.vec_id % 20 = 0")
 def l2_from_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
-    pairs = b.where("id < 40").crossJoin(asked(b, "id < 8"))
+    pairs = b.crossJoin(asked(b))
     return pairs.select("qid", "id", D.l2_from_product(D.norm_squared(F.col("qvec")), D.norm_squared(F.col("vec")), D.inner_product(F.col("qvec"), F.col("vec"))).alias("dis"))
 
 
@@ -189,11 +187,12 @@ def row_k_least(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark, sf_dir).select("id", F.posexplode(V.k_least(F.col("vec"), 3)).alias("r", "p")).select("id", (F.col("r") + 1).alias("rank"), "p.i", "p.x")
 
 
-_CANDIDATES = "select q.vec_id as qid, e.vec_id as id from embeddings q, embeddings e where q.vec_id < 10 and e.vec_id % 10 = q.vec_id"
+_CANDIDATES = "select q.vec_id as qid, e.vec_id as id from embeddings q, embeddings e where q.vec_id % 20 = 0 and e.vec_id % 20 = (q.vec_id // 20) % 20"
 
 
 def _candidates(b: DataFrame) -> DataFrame:
-    return b.select("id", (F.col("id") % 10).alias("qid"))
+    q = asked(b).select("qid", F.floor(F.col("qid") / 20 % 20).alias("_k"))
+    return b.select("id", (F.col("id") % 20).alias("_k")).join(q, "_k").select("qid", "id")
 
 
 @query("knn_subset_candidates", sql.top(f"select qid, id, {sql.l2(Q, E)} as dis from ({_CANDIDATES}) c join embeddings q on q.vec_id = c.qid join embeddings e on e.vec_id = c.id", 4))
@@ -256,10 +255,10 @@ def range_max_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.limit_results(S.range_join(asked(b), b, 1.8), 100)
 
 
-@query("knn_matrix", sql.top(sql.cross(sql.l2(Q, E), q="q.vec_id % 50 = 0"), 10).replace("id, dis", "id, round(dis, 6) as dis"))
+@query("knn_matrix", sql.top(sql.cross(sql.l2(Q, E)), 10).replace("id, dis", "id, round(dis, 6) as dis"))
 def knn_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
-    return S.knn_blocks(asked(b, "id % 50 = 0"), b, 10).withColumn("dis", F.round("dis", 6) + F.lit(0.0))
+    return S.knn_blocks(asked(b), b, 10).withColumn("dis", F.round("dis", 6) + F.lit(0.0))
 
 
 _SHARDS = " union all ".join(f"(select qid, id, dis from ({sql.top(sql.cross(sql.l2(Q, E), f'e.vec_id % 4 = {s}'), 5)}))" for s in range(4))

@@ -127,13 +127,13 @@ def result_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.intersection_sizes(S.knn(asked(b), b, 10), S.knn(asked(b), b, 10, "l1"))
 
 
-_HALVES = [sql.top(sql.cross(sql.l2(Q, E), w), 6) for w in ("e.vec_id < 250", "e.vec_id >= 250")]
+_HALVES = [sql.top(sql.cross(sql.l2(Q, E), w), 6) for w in ("e.vec_id % 2 = 0", "e.vec_id % 2 = 1")]
 
 
 @query("merge_result_tables", sql.top(f"select qid, id, dis from ({_HALVES[0]}) union all select qid, id, dis from ({_HALVES[1]})", 6))
 def merge_result_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
-    return S.merge_results([S.knn(asked(b), b.where("id < 250"), 6), S.knn(asked(b), b.where("id >= 250"), 6)], 6)
+    return S.merge_results([S.knn(asked(b), b.where("id % 2 = 0"), 6), S.knn(asked(b), b.where("id % 2 = 1"), 6)], 6)
 
 
 @query("matrix_stats_dim", """select i, count(*) as n, sum(isnan(x)::int)::bigint as n_nan, 0::bigint as n_inf, sum((x = 0)::int)::bigint as n_zero, min(x) filter (not isnan(x)) as min,
@@ -183,7 +183,7 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Ev.one_recall(S.knn(asked(b), b, 10, "l1"), S.knn(asked(b), b, 10), [1, 2, 5, 10])
 
 
-@query("knn_intersection", f"select count(*) / 100.0::double as intersection from ({_L1K}) a join ({_L2K}) b using (qid, id)")
+@query("knn_intersection", f"select count(*) / (10.0::double * (select count(*) from embeddings where vec_id % 20 = 0)) as intersection from ({_L1K}) a join ({_L2K}) b using (qid, id)")
 def knn_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
     return Ev.knn_intersection(S.knn(asked(b), b, 10, "l1"), S.knn(asked(b), b, 10), 10)
@@ -192,7 +192,7 @@ def knn_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
 _R1, _R2 = (f"select * from ({sql.cross(sql.l2(Q, E))}) where dis < {r}" for r in (1.6, 1.5))
 
 
-@query("range_precision_recall", f"""with r as ({_R1}), t as ({_R2}), q as (select vec_id as qid from embeddings where vec_id < 10),
+@query("range_precision_recall", f"""with r as ({_R1}), t as ({_R2}), q as (select vec_id as qid from embeddings where vec_id % 20 = 0),
 n as (select qid, (select count(*) from r where r.qid = q.qid) as r, (select count(*) from t where t.qid = q.qid) as t, (select count(*) from r join t using (qid, id) where qid = q.qid) as b from q)
 select round(avg(case when r > 0 then b::double / r else 1.0::double end), 9) as precision, round(avg(case when t > 0 then b::double / t when r = 0 then 1.0::double else 0.0::double end), 9) as recall from n""")
 def range_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +222,7 @@ def pareto_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Ev.pareto(points)
 
 
-@query("same_but_for_ties", "select vec_id as qid, 1 as same from embeddings where vec_id < 10")
+@query("same_but_for_ties", "select vec_id as qid, 1 as same from embeddings where vec_id % 20 = 0")
 def same_but_for_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
     rounded = lambda df: df.withColumn("dis", F.round("dis", 6))
