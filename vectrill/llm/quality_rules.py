@@ -32,7 +32,7 @@ _MARK[list(b"!?")] = True
 
 #: Long columns, then the ratios that rules may test.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-RATIOS = ("symbols_per_word", "repeat_share", "dup_line_share", "upper_share", "digit_share", "mark_share", "distinct_share", "echo_share")
+RATIOS = ("symbols_per_word", "repeat_share", "dup_line_share", "upper_share", "digit_share", "mark_share", "echo_share")
 
 
 def _segments(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -87,14 +87,13 @@ def statistics(texts: pa.Array) -> list[np.ndarray]:
         dup_lines = np.bincount(line_owner[again], minlength=n)
         n_lines = np.bincount(line_owner, minlength=n)
 
-        word_again, _ = _repeats(owner, t.hashes)
         echo = np.zeros(len(owner), np.int64)
         echo[1:] = (t.hashes[1:] == t.hashes[:-1]) & (owner[1:] == owner[:-1])
         some, w = np.maximum(chars, 1), np.maximum(words, 1)
         found.append([
             words, chars, symbols, dup_lines, repeated,
             symbols / w, repeated / w, dup_lines / np.maximum(n_lines, 1), t.count_bytes(_UPPER) / some, t.count_bytes(_DIGIT) / some,
-            t.count_bytes(_MARK) / w, 1 - _segments(word_again.astype(np.int64), t.word_offsets) / w, _segments(echo, t.word_offsets) / w])
+            t.count_bytes(_MARK) / w, _segments(echo, t.word_offsets) / w])
     kinds = [np.int64] * len(COUNTS) + [np.float64] * len(RATIOS)
     return [np.concatenate([f[i] for f in found]).astype(k) if found else np.zeros(0, k) for i, k in enumerate(kinds)]
 
@@ -185,6 +184,16 @@ def _prune(rule: Rule, data: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     return kept
 
 
+def _tightest(rule: Rule) -> Rule:
+    """One condition for each feature and direction."""
+    kept: dict[tuple[str, bool], Condition] = {}
+    for c in rule:
+        known = kept.get((c.feature, c.above))
+        if known is None or (c.threshold > known.threshold) == c.above:
+            kept[c.feature, c.above] = c
+    return tuple(kept.values())
+
+
 def learn(features: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.95, longest: int = 4, most: int = 24, least: int = 3) -> list[Rule]:
     """An ordered list of rules that reject. Rows are dealt to growing (2/3) and pruning (1/3) by position.
 
@@ -198,7 +207,7 @@ def learn(features: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0
         rule = _grow({k: v[growing] for k, v in features.items()}, bad[growing], longest)
         if not rule:
             break
-        rule = _prune(rule, {k: v[pruning] for k, v in features.items()}, bad[pruning])
+        rule = _tightest(_prune(rule, {k: v[pruning] for k, v in features.items()}, bad[pruning]))
         inside = _covered(rule, features, len(bad)) & left
         p, n = int(bad[inside].sum()), int((~bad[inside]).sum())
         if p < least or p < precision * (p + n):
