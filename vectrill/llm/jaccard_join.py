@@ -155,8 +155,8 @@ class Seen:
 
 
 def nodes(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """A row per document: key, n_shingles, node (0: empty set), slack, slack_up."""
-    schema = T.StructType([docs.schema[key], *(T.StructField(c, T.LongType()) for c in ("n_shingles", "node", "slack", "slack_up"))])
+    """A row per document: key, n_shingles, node (0: empty set), slack, slack_up, and a hash of its text."""
+    schema = T.StructType([docs.schema[key], *(T.StructField(c, T.LongType()) for c in ("n_shingles", "node", "slack", "slack_up", "text_hash"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,9 +165,9 @@ def nodes(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
                 _, _, slack, slack_up = sketches(owner, h, stop - start)
                 for f, v in zip(found, (np.bincount(owner, minlength=stop - start), prints, slack, slack_up), strict=True):
                     f.append(v.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(np.concatenate(f) if f else np.zeros(0, np.int64)) for f in found)], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(np.concatenate(f) if f else np.zeros(0, np.int64)) for f in found), batch.column("_hash")], names=[f.name for f in schema])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text, F.xxhash64(text).alias("_hash")).mapInArrow(run, schema)
 
 
 class Filter:
@@ -204,23 +204,26 @@ class Filter:
 _PAIRS = "key long, node long"
 
 
+def _passing(batch: pa.RecordBatch, sent) -> pa.Array:
+    """The texts whose hash passes the filter: one text at least of each wanted node, before anything is computed."""
+    return batch.column(0) if sent is None else batch.column(0).filter(pa.array(sent.value.holds(batch.column(1).to_numpy())))
+
+
 def _emit(docs: DataFrame, text: str, k: int, of: Callable, sent=None) -> DataFrame:
-    """(key, node) rows of each document's set; ``of(owner, h, n)`` gives (text, key) arrays. ``sent``: a Filter of nodes."""
+    """(key, node) rows of each document's set; ``of(owner, h, n)`` gives (text, key) arrays. ``sent``: a Filter of text hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
         for batch in batches:
-            for start, stop, owner, h, prints in _over_sets(batch.column(text), k):
+            for start, stop, owner, h, prints in _over_sets(_passing(batch, sent), k):
                 wanted = prints != 0
-                if sent is not None:
-                    wanted &= sent.value.holds(prints)
                 wanted[wanted] = seen.fresh(prints[wanted])
                 take = wanted[owner]
                 for who, keys in of(owner[take], h[take], stop - start):
                     if len(who):
                         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(prints[who])], names=["key", "node"])
 
-    return docs.select(text).mapInArrow(run, _PAIRS)
+    return docs.select(text, F.xxhash64(text).alias("_hash")).mapInArrow(run, _PAIRS)
 
 
 def _coarse(owner, h, n):
@@ -274,7 +277,7 @@ def buckets(rows: DataFrame) -> DataFrame:
 
 
 def sets(docs: DataFrame, text: str, k: int, sent) -> DataFrame:
-    """(node, n, bits, hashes) of the documents whose node passes the filter, once each.
+    """(node, n, bits, hashes) of the documents whose text passes the filter, once each.
 
     ``hashes`` are 8-byte integers in order; ``bits`` is a parity sketch in which each shingle toggles one bit.
     """
@@ -282,8 +285,8 @@ def sets(docs: DataFrame, text: str, k: int, sent) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
         for batch in batches:
-            for start, stop, owner, h, prints in _over_sets(batch.column(text), k):
-                wanted = (prints != 0) & sent.value.holds(prints)
+            for start, stop, owner, h, prints in _over_sets(_passing(batch, sent), k):
+                wanted = prints != 0
                 wanted[wanted] = seen.fresh(prints[wanted])
                 at = np.searchsorted(owner, np.arange(stop - start + 1))
                 some = np.flatnonzero(wanted)
@@ -293,7 +296,7 @@ def sets(docs: DataFrame, text: str, k: int, sent) -> DataFrame:
                     words = [(b << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64).tolist() for b in bits]
                     yield pa.RecordBatch.from_arrays([pa.array(prints[some]), pa.array([len(x) for x in found], pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "n", "bits", "hashes"])
 
-    return docs.select(text).mapInArrow(run, "node long, n long, bits array<long>, hashes binary").dropDuplicates(["node"])
+    return docs.select(text, F.xxhash64(text).alias("_hash")).mapInArrow(run, "node long, n long, bits array<long>, hashes binary").dropDuplicates(["node"])
 
 
 def verify(pairs: DataFrame, of: DataFrame, similarity: int = 80) -> DataFrame:
@@ -365,7 +368,7 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         raise ValueError("sketch lengths are laid out for a similarity of 80 per cent or more")
     context, start = docs.sparkSession.sparkContext, mark()
     documents = materialize(nodes(docs, key, text, k), "nodes")
-    each = documents.where("node <> 0").groupBy("node").agg(F.min("slack").alias("slack"), F.min("slack_up").alias("slack_up"), F.first("n_shingles").alias("n_shingles"))
+    each = documents.where("node <> 0").groupBy("node").agg(F.min("slack").alias("slack"), F.min("slack_up").alias("slack_up"), F.first("n_shingles").alias("n_shingles"), F.min("text_hash").alias("text_hash"))
     each = materialize(each, "each")
     own = F.length(F.bin("n_shingles")) - 1
     bands = each.select("node", F.explode(F.array(F.struct(own.alias("band"), "slack"), F.struct((own + 1).alias("band"), F.col("slack_up").alias("slack")))).alias("s")).select("node", "s.band", "s.slack")
@@ -373,15 +376,15 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     coarse = materialize(rarest(coarse, bands, crowd, limit), "coarse")
 
     crowds = coarse.where("crowded").select("node").distinct()
-    unsafe = each.where("least(slack, slack_up) < 0").select("node").union(crowds).distinct().join(each.select("node", "n_shingles"), "node")
+    unsafe = each.where("least(slack, slack_up) < 0").select("node").union(crowds).distinct().join(each.select("node", "n_shingles", "text_hash"), "node")
     unsafe = materialize(unsafe, "unsafe")
     spare = unsafe.select("node", F.lit(0).alias("band"), (F.col("n_shingles") - F.floor(F.col("n_shingles") / 5) - 1).alias("slack"))
-    fine = buckets(_emit(docs, text, k, _fine, context.broadcast(Filter.of(unsafe.select("node")))))
+    fine = buckets(_emit(docs, text, k, _fine, context.broadcast(Filter.of(unsafe.select("text_hash")))))
     fine = materialize(fine.select("key", "node", F.lit(0).alias("band")), "fine")
     fine = materialize(rarest(fine, spare, crowd, limit), "fine")
 
     rows = materialize(coarse.where("not crowded").union(fine), "rows")
-    of = materialize(sets(docs, text, k, context.broadcast(Filter.of(materialize(rows.select("node").distinct(), "candidates")))), "sets")
+    of = materialize(sets(docs, text, k, context.broadcast(Filter.of(materialize(rows.select("node").distinct().join(each, "node").select("text_hash"), "candidates")))), "sets")
 
     # first every node with the smallest that it meets: one pair a node joins up most groups
     pivots = materialize(rows.groupBy("key").agg(F.min("node").alias("a")), "pivots")
