@@ -8,7 +8,6 @@ merged by a global top-k. The k-NN graph itself is made by joins and isn't bound
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np

@@ -6,7 +6,7 @@ partitions. Probes are a table ``(qid, qvec, list_no, probe)``, and the scan is
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from vectrill.functions import distances as D
 from vectrill.functions import vectors as V
 from vectrill.operators.clustering import assign_to
-from vectrill.operators.search import QUERY_BLOCK
+from vectrill.operators.search import QUERY_BLOCK, ROW_BLOCK
 from vectrill.operators.selectors import Selector
 from vectrill.operators.topk import top_k
 
@@ -98,10 +98,16 @@ class Inverted:
     def search_big(self, queries: DataFrame, k: int, nprobe: int = 1) -> DataFrame:
         """Many queries: probes and rows meet list by list, and distances come from matrix products.
 
-        A list's rows and its queries are one group; queries are divided so that a group holds ``QUERY_BLOCK`` at most.
+        A group is at most about ``QUERY_BLOCK`` queries and ``ROW_BLOCK`` rows of a list: larger lists, and lists
+        that many queries probe, are divided by hashes, and each part of the one side meets each of the other.
         """
         similarity = D.metric(self.which).similarity
         probes = self.probe(queries, nprobe).select("list_no", "qid", "qvec")
+        rows = self.lists.select("list_no", "id", "vec")
+        count = lambda df, block, name: df.groupBy("list_no").agg(F.ceil(F.count("*") / block).alias(name))
+        parts = count(rows, ROW_BLOCK, "_rows").join(count(probes, QUERY_BLOCK, "_queries"), "list_no")  # a row per list
+        probes = probes.join(parts, "list_no").withColumn("_q", F.pmod(F.xxhash64("qid"), F.col("_queries"))).withColumn("_r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rows") - 1)))
+        rows = rows.join(parts, "list_no").withColumn("_r", F.pmod(F.xxhash64("id"), F.col("_rows"))).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_queries") - 1)))
         schema = "qid long, id long, dis double"
 
         def match(q: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -118,7 +124,8 @@ class Inverted:
                 out.append(pd.DataFrame({"qid": np.repeat(part["qid"].to_numpy(), keep.shape[1]), "id": ids[keep].ravel(), "dis": np.take_along_axis(d, keep, 1).ravel() * (-1 if similarity else 1)}))
             return pd.concat(out)
 
-        found = probes.groupBy("list_no").cogroup(self.lists.select("list_no", "id", "vec").groupBy("list_no")).applyInPandas(match, schema)
+        group = ("list_no", "_r", "_q")
+        found = probes.groupBy(*group).cogroup(rows.groupBy(*group)).applyInPandas(match, schema)
         return top_k(found, k, descending=similarity).select("qid", "rank", "id", "dis")
 
 

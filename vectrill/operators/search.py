@@ -19,6 +19,8 @@ from vectrill.operators.topk import top_k
 
 #: Queries are broadcast up to so many rows; more of them are handled in blocks of that size.
 QUERY_BLOCK = 20_000
+#: Rows of one group in a search list by list.
+ROW_BLOCK = 50_000
 
 
 def _selected(base: DataFrame, selector: Selector | None) -> DataFrame:
