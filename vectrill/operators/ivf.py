@@ -106,8 +106,8 @@ class Inverted:
         rows = self.lists.select("list_no", "id", "vec")
         count = lambda df, block, name: df.groupBy("list_no").agg(F.ceil(F.count("*") / block).alias(name))
         parts = count(rows, ROW_BLOCK, "_rows").join(count(probes, QUERY_BLOCK, "_queries"), "list_no")  # a row per list
-        probes = probes.join(parts, "list_no").withColumn("_q", F.pmod(F.xxhash64("qid"), F.col("_queries"))).withColumn("_r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rows") - 1)))
-        rows = rows.join(parts, "list_no").withColumn("_r", F.pmod(F.xxhash64("id"), F.col("_rows"))).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_queries") - 1)))
+        probes = probes.join(parts, "list_no").withColumn("_q", F.pmod(F.xxhash64("qid"), F.col("_queries"))).withColumn("_r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rows") - 1))).drop("_rows", "_queries")
+        rows = rows.join(parts, "list_no").withColumn("_r", F.pmod(F.xxhash64("id"), F.col("_rows"))).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_queries") - 1))).drop("_rows", "_queries")
         schema = "qid long, id long, dis double"
 
         def match(q: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
