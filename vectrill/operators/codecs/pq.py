@@ -274,3 +274,32 @@ def polysemous_order(book: np.ndarray, rounds: int = 20_000, seed: int = 1234) -
             order = swapped
         heat *= 0.9997 if heat > 1e-4 else 0
     return order
+
+
+@dataclass
+class RefinedProduct:
+    """A product quantizer, and a second one for what the first leaves; codes one after the other."""
+
+    first: ProductQuantizer
+    second: ProductQuantizer
+
+    def fit(self, df: DataFrame, vec: str = "vec") -> RefinedProduct:
+        self.first.fit(df, vec)
+        books = self.first.books
+        left = map_vectors(df, lambda x: x - decode_numpy(encode_numpy(x.astype(np.float64), books), books), vec, vec, T.DoubleType())
+        self.second.fit(left, vec)
+        return self
+
+    def encode(self, df: DataFrame, vec: str = "vec", code: str = "code") -> DataFrame:
+        a, b = self.first.books, self.second.books
+
+        def both(x: np.ndarray) -> np.ndarray:
+            x = x.astype(np.float64)
+            codes = encode_numpy(x, a)
+            return np.concatenate([codes, encode_numpy(x - decode_numpy(codes, a), b)], axis=1)
+
+        return map_vectors(df, both, vec, code, T.IntegerType())
+
+    def decode(self, df: DataFrame, code: str = "code", vec: str = "vec") -> DataFrame:
+        a, b, m = self.first.books, self.second.books, self.first.m
+        return map_vectors(df, lambda c: decode_numpy(c[:, :m], a) + decode_numpy(c[:, m:], b), code, vec, T.DoubleType())

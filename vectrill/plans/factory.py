@@ -287,6 +287,8 @@ def _codec(n: Node, d: int):
     if n.kind == "sq":
         kinds = {"fp16": Q.HalfPrecision(), "bf16": Q.HalfPrecision(brain=True), "8_direct": Q.DirectBytes(), "8_direct_signed": Q.DirectBytes(signed=True)}
         return kinds.get(n["type"]) or Q.ScalarQuantizer(int(n["type"]))
+    if n["refine_m"]:
+        return K.RefinedProduct(K.ProductQuantizer(n["m"], bits), K.ProductQuantizer(n["refine_m"], bits))
     if n.kind in ("pq", "two_layer"):
         return K.ProductQuantizer(n["m"], bits)
     if n.kind in ("rq", "rcq"):

@@ -20,7 +20,7 @@ from vectrill.operators.ivf import Inverted
 _CLASSES = {c.__name__: c for c in (
     transforms.Linear, transforms.PCA, transforms.ITQ, transforms.OPQ, transforms.Remap, transforms.Normalize, transforms.Center, transforms.Chain, KMeans,
     scalar.ScalarQuantizer, scalar.DirectBytes, scalar.HalfPrecision, scalar.RowMinMax, scalar.SignBits, scalar.SpectralBits,
-    pq.ProductQuantizer, pq.ResidualQuantizer, pq.LocalSearchQuantizer, pq.SplitCodec)}
+    pq.ProductQuantizer, pq.ResidualQuantizer, pq.LocalSearchQuantizer, pq.SplitCodec, pq.RefinedProduct)}
 
 
 def to_json(value: Any) -> Any:
