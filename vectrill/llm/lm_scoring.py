@@ -1,12 +1,15 @@
 """Cross-entropy difference of a target and a background n-gram model over one shared vocabulary.
 
-The vocabulary is the ``size - 1`` most frequent words of the corpus; all others are one unknown word. Both models are
-bigram models with the same interpolation: the background one is counted over all documents, the target one over the
-documents that the labels mark good. Every document gets the mean over its tokens of (loss under the target model -
-loss under the background model): the lower, the more it is like the target.
-
-Counts are taken over all documents: each task adds up its own, and a shuffle sums them. What is sent to the executors
-is bounded by the vocabulary: one loss difference for each pair of its words.
+The vocabulary is every word of the corpus (a hash stands for each), or, if a size is given, the ``size - 1`` most
+frequent ones, all others being one unknown word. Both models are bigram models with the same interpolation: the
+background one is counted over all documents, the target one over the documents that the labels mark good. Every
+document gets the mean over its tokens of (loss under the target model - loss under the background model): the lower,
+the more it is like the target.
+
+Counts are taken over all documents and nothing that grows with the vocabulary is gathered or broadcast. Documents are
+cut into chunks of about ``CHUNK`` tokens. A chunk sends each of its distinct words, contexts and pairs once, with its
+own counts, to the bucket that the hash falls into; buckets add them up and answer every chunk in the order it asked;
+the chunk, whose words travel along as numbers, is scored by the answers. A frequent pair is one entry for each chunk.
 """
 
 from __future__ import annotations
@@ -16,141 +19,231 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectrill.llm.textbuf import LOWER, Texts, cut, no_nulls, runs
+from vectrill.llm.textbuf import LOWER, cut, mix64, no_nulls, runs
 from vectrill.runtime import materialize
 
 #: So many words are counted at a time in a task.
 FLUSH = 2_000_000
+#: Tokens of a chunk, and of the corpus for each bucket.
+CHUNK = 2_000_000
+BUCKET = 3_000_000
+
+_UNKNOWN, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_MESSAGE = "chunk long, bucket int, a binary, b binary, c binary, d binary"
+_NAMES = ["chunk", "bucket", "a", "b", "c", "d"]
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(hash, n) of all words of all texts, words in ASCII lower case."""
+def word_counts(docs: DataFrame, text: str = "text", target: str = "_target") -> DataFrame:
+    """(hash, n, n_target) of all words of all texts, words in ASCII lower case."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            words, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
+            words, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            n, chosen = np.bincount(at), np.bincount(at[np.concatenate([m for _, m in held])], minlength=len(words))
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n), pa.array(chosen)], names=["hash", "n", "n_target"])
 
         for batch in batches:
-            texts = no_nulls(batch.column(0))
+            texts, marks = no_nulls(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for start, stop in runs(texts):
-                h = cut(texts, start, stop, fold=LOWER).hashes
-                if len(h):
-                    held.append(h)
-                    size += len(h)
+                t = cut(texts, start, stop, fold=LOWER)
+                if len(t.hashes):
+                    held.append((t.hashes, marks[start:stop][t.word_text]))
+                    size += len(t.hashes)
                 if size >= FLUSH:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
 
-    return docs.select(text).mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return docs.select(text, target).mapInArrow(run, "hash long, n long, n_target long").groupBy("hash").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
 
 
 @dataclass
 class Vocabulary:
-    """Hashes of the words in order; word i has number i + 1, and 0 is the unknown word."""
-
-    hashes: np.ndarray
+    """Number of words (the unknown one included), their occurrences in all documents and in the target, and the sorted
+    hashes of the known words, or None if all words are known."""
 
-    @property
-    def size(self) -> int:
-        return len(self.hashes) + 1
+    size: int
+    total: int
+    total_target: int
+    hashes: np.ndarray | None = None
 
-    def numbers(self, h: np.ndarray) -> np.ndarray:
+    def known(self, h: np.ndarray) -> np.ndarray:
+        if self.hashes is None:
+            return h
         if not len(self.hashes):
-            return np.zeros(len(h), np.int64)
+            return np.full(len(h), _UNKNOWN)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at + 1, 0)
+        return np.where(self.hashes[at] == h, h, _UNKNOWN)
 
-    def pairs(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """(text, previous * (size + 1) + word) of every token; the start of a text is the previous word ``size``."""
-        word = self.numbers(t.hashes)
-        before = np.empty_like(word)
-        before[1:] = word[:-1]
-        first = t.word_offsets[:-1][t.n_words > 0]
-        before[first] = self.size
-        return t.word_text, before * self.size + word
 
-
-def vocabulary(counts: DataFrame, size: int = 2048) -> Vocabulary:
-    """The ``size - 1`` words of the highest counts; of equal counts, the smallest hashes."""
+def vocabulary(counts: DataFrame, size: int | None = None) -> Vocabulary:
+    """All words, or the ``size - 1`` words of the highest counts; of equal counts, the smallest hashes."""
+    row = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
+    if size is None:
+        return Vocabulary(row[0] + 1, row[1], row[2])
     top = counts.orderBy(F.col("n").desc(), "hash").limit(size - 1).collect()
-    return Vocabulary(np.sort(np.array([r["hash"] for r in top], np.int64).view(np.uint64)))
+    return Vocabulary(len(top) + 1, row[1], row[2], np.sort(np.array([r["hash"] for r in top], np.int64).view(np.uint64)))
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Byte planes, compressed: most counts and numbers are small."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return len(planes).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+
 
+def _unpack(body: bytes, kind) -> np.ndarray:
+    n = int.from_bytes(body[:8], "little")
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(body[8:], n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-def pair_counts(docs: DataFrame, words: Vocabulary, text: str = "text", target: str = "_target") -> DataFrame:
-    """(pair, n, n_target): occurrences of each pair of words in all documents, and in those of the target."""
-    cells = (words.size + 1) * words.size
+
+@dataclass
+class Entries:
+    """What a chunk asks for: its words, contexts and pairs as sorted hashes.
+
+    ``words`` are the chunk's distinct word hashes in any order, ``token`` the number of each token's word, ``n_words`` the tokens of
+    each document; a context is a word before, or the start of a text.
+    """
+
+    words: np.ndarray
+    token: np.ndarray
+    n_words: np.ndarray
+
+    def __post_init__(self) -> None:
+        v = len(self.words)
+        self.before = np.empty(len(self.token), np.int64)
+        self.before[1:] = self.token[:-1]
+        ends = np.cumsum(self.n_words)
+        self.before[(ends - self.n_words)[self.n_words > 0]] = v
+        self.pairs, self.pair = np.unique(self.before * v + self.token, return_inverse=True)
+        self.pair_before, self.pair_word = np.divmod(self.pairs, max(v, 1))
+        contexts = mix64(np.append(self.words, _START) + np.uint64(1))
+        hashes = np.concatenate([self.words, contexts, mix64(contexts[self.pair_before] * np.uint64(0xD1342543DE82EF95) + self.words[self.pair_word])])
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+
+    def counts(self, of: np.ndarray | None = None) -> np.ndarray:
+        """Occurrences of the entries in the tokens for which ``of`` is true, in the order of ``hashes``."""
+        which = slice(None) if of is None else of
+        parts = ((self.token, len(self.words)), (self.before, len(self.words) + 1), (self.pair, len(self.pairs)))
+        return np.concatenate([np.bincount(x[which], minlength=n) for x, n in parts])[self.order]
+
+    def losses(self, counts: np.ndarray, size: int, total: int, strength: float = 8.0) -> np.ndarray:
+        """-log2 P(word | previous) of every token: a bigram model interpolated with the unigram model, and that with
+        the uniform one, each by ``strength`` pseudo-counts. Without counts it is uniform."""
+        n = np.empty(len(counts))
+        n[self.order] = counts
+        word, before, pair = np.split(n, [len(self.words), 2 * len(self.words) + 1])
+        single = (word + strength / size) / (total + strength)
+        return -np.log2((pair + strength * single[self.pair_word]) / (before[self.pair_before] + strength))[self.pair]
+
+
+def _messages(chunk, bucket, a, b, c=None, d=None) -> pa.RecordBatch:
+    none = [None] * len(bucket)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(chunk, pa.int64()), pa.array(bucket, pa.int32()), *(pa.array(none if x is None else x, pa.binary()) for x in (a, b, c, d))], names=_NAMES
+    )
+
+
+def _ask(docs: DataFrame, words: Vocabulary, buckets: int) -> DataFrame:
+    """For each chunk its own words (a bucket below 0), and a row of entries and counts for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        everything, chosen = np.zeros(cells, np.int32), np.zeros(cells, np.int32)
+        made = 0
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            chunk = (TaskContext.get().partitionId() << 32) + made
+            n_words, marks = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+            distinct, token, often = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True, return_counts=True)
+            rank = np.argsort(-often, kind="stable")  # small numbers for frequent words, which compress better
+            number = np.empty_like(rank)
+            number[rank] = np.arange(len(rank))
+            distinct, token = distinct[rank], number[token]
+            e = Entries(distinct, token, n_words)
+            keys = pa.Table.from_arrays([pa.chunked_array([x[0] for x in held])], names=["key"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, keys.schema) as out:
+                out.write_table(keys)
+            yield _messages([chunk], [-1 - chunk % 1_000_003 % buckets], [sink.getvalue().to_pybytes()], [_pack(distinct)], [_pack(n_words.astype(np.int64))], [_pack(token.astype(np.uint32))])
+            n, chosen = e.counts().astype(np.uint32), e.counts(np.repeat(marks, n_words)).astype(np.uint32)
+            bucket = ((e.hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            edges = np.searchsorted(bucket, np.arange(buckets + 1))
+            some = np.flatnonzero(np.diff(edges))
+            for i in range(0, len(some), 64):
+                spans = [(int(edges[b]), int(edges[b + 1])) for b in some[i : i + 64]]
+                yield _messages([chunk] * len(spans), some[i : i + 64], [_pack(np.diff(e.hashes[x:y], prepend=np.uint64(0))) for x, y in spans], [_pack(n[x:y]) for x, y in spans], [_pack(chosen[x:y]) for x, y in spans])
+
         for batch in batches:
-            texts, marks = no_nulls(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            texts, marks = no_nulls(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for start, stop in runs(texts):
-                owner, pair = words.pairs(cut(texts, start, stop, fold=LOWER))
-                for table, found in ((everything, pair), (chosen, pair[marks[start:stop][owner]])):
-                    value, n = np.unique(found, return_counts=True)
-                    table[value] += n.astype(np.int32)
-        some = np.flatnonzero(everything)
-        for i in range(0, len(some), 200_000):
-            part = some[i : i + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(everything[part].astype(np.int64)), pa.array(chosen[part].astype(np.int64))], names=["pair", "n", "n_target"])
-
-    return docs.select(text, target).mapInArrow(run, "pair int, n long, n_target long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-def losses(pair: np.ndarray, n: np.ndarray, size: int, strength: float = 8.0) -> np.ndarray:
-    """-log2 P(word | previous) for every pair: a bigram model interpolated with the unigram model, and that with the
-    uniform one, each by ``strength`` pseudo-counts. Without counts it is uniform."""
-    grid = np.zeros((size + 1) * size)
-    grid[pair] = n
-    grid = grid.reshape(size + 1, size)
-    single = grid.sum(axis=0)
-    single = (single + strength / size) / (single.sum() + strength)
-    return -np.log2((grid + strength * single) / (grid.sum(axis=1, keepdims=True) + strength))
-
-
-def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", vocabulary_size: int = 2048) -> DataFrame:
+                t = cut(texts, start, stop, fold=LOWER)
+                held.append((batch.column(0).slice(start, stop - start), t.n_words, marks[start:stop], words.known(t.hashes)))
+                size += len(t.hashes)
+                if size >= CHUNK:
+                    yield from flush()
+                    made, held, size = made + 1, [], 0
+        if held:
+            yield from flush()
+
+    return docs.mapInArrow(run, _MESSAGE)
+
+
+def _add(asked: pa.Table) -> pa.Table:
+    """The sums of one bucket, for each chunk in the order it asked. A chunk's own words pass."""
+    if asked.column("bucket")[0].as_py() < 0:
+        return asked
+    hashes = [np.cumsum(_unpack(x.as_py(), np.uint64), dtype=np.uint64) for x in asked.column("a")]
+    edges = np.cumsum([len(h) for h in hashes])[:-1]
+    found, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    out = []
+    for c in ("b", "c"):
+        n = np.concatenate([_unpack(x.as_py(), np.uint32) for x in asked.column(c)])
+        sums = np.bincount(at, n, len(found)).astype(np.uint64)
+        out.append([_pack(x) for x in np.split(sums[at], edges)])
+    return pa.Table.from_batches([_messages(asked.column("chunk").to_pylist(), asked.column("bucket").to_pylist(), None, *out)])
+
+
+def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", vocabulary_size: int | None = None) -> DataFrame:
     """One row per document: ``key``, n_tokens, ce_target, ce_background, ce_difference (bits a token).
 
     Texts without words (NULL, empty) have 0 tokens and differences of 0. Documents that labels call good several
     times count once per row; NULL labels and keys mark nothing. Without a target the target model is uniform.
     """
     good = labels.where((F.col(label) == 1) & F.col(key).isNotNull()).select(F.col(key).alias("_key")).distinct()
-    marked = docs.select(key, text)
-    words = vocabulary(word_counts(marked, text), vocabulary_size)
     # the ids grow with the corpus: they are broadcast only if counted to be few
     flags = materialize(good, "target")
-    chosen = flags if flags.count() > 500_000 else F.broadcast(flags)
-    marked = marked.join(chosen.withColumn("_target", F.lit(True)), F.col(key) == F.col("_key"), "left").select(key, text, F.coalesce("_target", F.lit(False)).alias("_target"))
-    table = pair_counts(marked, words, text).toArrow()
-    pair, n, n_target = (table.column(c).to_numpy() for c in ("pair", "n", "n_target"))
-    size = words.size
-    target, background = losses(pair, n_target, size).astype(np.float32).ravel(), losses(pair, n, size).astype(np.float32).ravel()
-    sent = docs.sparkSession.sparkContext.broadcast((target, background))
+    few = flags.count() <= 500_000
+    chosen = F.broadcast(flags) if few else flags
+    marked = docs.select(key, text).join(chosen.withColumn("_target", F.lit(True)), F.col(key) == F.col("_key"), "left").select(key, text, F.coalesce("_target", F.lit(False)).alias("_target"))
+    if not few:
+        marked = materialize(marked, "marked")  # chunks must be the same if a task is run again
+    words = vocabulary(word_counts(marked, text), vocabulary_size)
     schema = T.StructType([docs.schema[key], T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("ce_target", "ce_background", "ce_difference"))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        goal, ground = sent.value
-        for batch in batches:
-            texts = no_nulls(batch.column(text))
-            out = [[], [], []]
-            for start, stop in runs(texts):
-                owner, pair = words.pairs(cut(texts, start, stop, fold=LOWER))
-                n = np.bincount(owner, minlength=stop - start)
-                some = np.maximum(n, 1)
-                a, b = (np.bincount(owner, x[pair].astype(np.float64), stop - start) / some for x in (goal, ground))
-                for o, v in zip(out, (n, a, b), strict=True):
-                    o.append(v)
-            n, a, b = (np.concatenate(o) if o else np.zeros(0) for o in out)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n.astype(np.int64)), pa.array(a), pa.array(b), pa.array(a - b)], names=[f.name for f in schema])
-
-    return docs.select(key, text).mapInArrow(run, schema)
+    size, total, total_target = words.size, words.total, words.total_target
+
+    def finish(told: pa.Table) -> pa.Table:
+        told = told.sort_by("bucket")
+        head = told.slice(0, 1).to_pylist()[0]
+        keys = pa.ipc.open_stream(head["a"]).read_all().column("key")
+        n_words = _unpack(head["c"], np.int64)
+        e = Entries(_unpack(head["b"], np.uint64), _unpack(head["d"], np.uint32).astype(np.int64), n_words)
+        n, chosen = (np.concatenate([_unpack(x.as_py(), np.uint64) for x in told.column(c).slice(1)]) for c in ("b", "c"))
+        owner, some = np.repeat(np.arange(len(n_words)), n_words), np.maximum(n_words, 1)
+        a, b = (np.bincount(owner, e.losses(x, size, t), len(n_words)) / some for x, t in ((chosen, total_target), (n, total)))
+        return pa.Table.from_arrays([keys, pa.array(n_words), pa.array(a), pa.array(b), pa.array(a - b)], names=[f.name for f in schema])
+
+    buckets = max(1, total // BUCKET)
+    return _ask(marked, words, buckets).groupBy("bucket").applyInArrow(_add, _MESSAGE).groupBy("chunk").applyInArrow(finish, schema)
