@@ -32,11 +32,11 @@ _register("factory_lsh", "LSH64", sql.top(_HPAIRS, 5))
 _register("factory_binary_flat", "BFlat", sql.top(_HPAIRS, 5), binary=True)
 _register("factory_binary_ivf_all", "BIVF4", sql.top(_HPAIRS, 5), binary=True, nprobe=4)
 _register("factory_binary_hash", "BHash8", sql.top(sql.cross(_HAMMING, "list_sum(list_transform(list_zip(q.embedding[1:8], e.embedding[1:8]), lambda z: case when (z[1] >= 0) <> (z[2] >= 0) then 1 else 0 end)) <= 2"), 5), binary=True, flips=2)
-_register("factory_pca_ivf_sq8", "PCA32,IVF8,SQ8", nprobe=2)
-_register("factory_opq_ivf_pq", "OPQ8_32,IVF8,PQ8x4", nprobe=2)
-_register("factory_ivf_rabitq", "IVF8,RaBitQ", nprobe=4)
+_register("factory_pca_ivf_sq8", "PCA32,IVF8,SQ8,RFlat", nprobe=7, k_factor=60)
+_register("factory_opq_ivf_pq", "OPQ8_32,IVF8,PQ8x4,RFlat", nprobe=7, k_factor=120)
+_register("factory_ivf_rabitq", "IVF8,RaBitQ,RFlat", nprobe=7, k_factor=60)
 _register("factory_hnsw", "HNSW16,Flat")
 _register("factory_nsg", "NSG16,Flat")
-_register("factory_imi", "IMI2x3,Flat", nprobe=16)
-_register("factory_rq", "RQ4x4")
-_register("factory_lattice", "ZnLattice8x10_4")
+_register("factory_imi", "IMI2x3,Flat", nprobe=48)
+_register("factory_rq", "RQ4x4,RFlat", k_factor=160)
+_register("factory_lattice", "ZnLattice8x10_4,RFlat", k_factor=8)
