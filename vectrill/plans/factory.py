@@ -26,6 +26,7 @@ from vectrill.operators.clustering import KMeans
 from vectrill.operators.codecs import pq as K
 from vectrill.operators.codecs import scalar as Q
 from vectrill.operators.codecs.exotic import Lattice
+from vectrill.operators.topk import top_k
 
 
 class UnknownDescription(ValueError):
@@ -348,6 +349,8 @@ class Index:
         if plan.code.kind == "lsh":
             coded = self.codec.encode(q, "qvec", "code").drop("qvec").withColumnRenamed("code", "qvec")
             return B.knn(coded, rows if selector is None else selector.apply(rows), k)
+        if isinstance(self.codec, _Spectral):
+            return top_k(self.codec.scan(self.inverted, q, nprobe, selector), k).select("qid", "rank", "id", "dis")
         if self.inverted is not None:
             return self.inverted.search(q, k, nprobe, selector=selector).select("qid", "rank", "id", "dis")
         if plan.coarse is not None and plan.coarse.kind in ("hnsw", "nsg"):
@@ -358,6 +361,8 @@ class Index:
         if self.plan.binary:
             return B.range_join(queries, self.rows, int(radius))
         q = self._queries(queries)
+        if isinstance(self.codec, _Spectral):
+            return self.codec.scan(self.inverted, q, nprobe, selector).where(F.col("dis") < radius).select("qid", "id", "dis")
         if self.inverted is not None:
             return self.inverted.range_search(q, radius, nprobe, selector=selector).select("qid", "id", "dis")
         return S.range_join(q, self.rows, radius, self.which, selector=selector)
@@ -366,6 +371,8 @@ class Index:
 def build(text: str | Plan, base: DataFrame, which: str = "l2", train: DataFrame | None = None, rounds: int = 10) -> Index:
     """Train on ``train`` (or the rows) and index ``base`` (id, vec); binary plans take packed words as ``vec``."""
     plan = parse(text) if isinstance(text, str) else text
+    if plan.code.kind == "spectral" and which != "l2":
+        raise UnsupportedPlan("spectral hashes are for l2 only")
     train = base if train is None else train
     if plan.binary:
         index = Index(plan, "hamming", rows=base, originals=base)
@@ -394,18 +401,20 @@ def build(text: str | Plan, base: DataFrame, which: str = "l2", train: DataFrame
         return index
     if plan.coarse is not None and plan.coarse.kind in ("ivf", "imi", "residual"):
         centroids = _coarse_centroids(plan.coarse, sample, rounds, similarity)
-        residual = plan.code.kind in ("pq", "rq", "lsq", "prq", "plsq", "rabitq", "spectral")
+        residual = plan.code.kind in ("pq", "rq", "lsq", "prq", "plsq", "rabitq")
         index.inverted = I.Inverted.build(rows, centroids, which, residual)
         lists = index.inverted.lists
         if isinstance(codec, str):
-            index.inverted.lists = _sign_lists(codec, lists)
+            if codec == "spectral":
+                index.codec = _Spectral.fit(plan.code, index.inverted, I.Inverted.build(sample, centroids, which).lists, at)
+            index.inverted.lists = index.codec.encode(lists, "vec") if codec == "spectral" else _rabitq_lists(lists, plan.code["bits"])
         elif codec is not None:
             codec.fit(I.Inverted.build(sample, centroids, which, residual).lists)
             index.inverted.lists = codec.decode(codec.encode(lists)).drop("code")
         index.rows = index.inverted.lists
         return index
     if isinstance(codec, str):
-        index.rows = _sign_lists(codec, _centered(rows, sample, index))
+        index.rows = _rabitq_lists(_centered(rows, sample, index), plan.code["bits"])
         center = F.array(*[F.lit(c) for c in index.center])
         index.rows = index.rows.withColumn("vec", V.add(F.col("vec"), center))
     elif codec is not None:
@@ -420,13 +429,45 @@ def _centered(rows: DataFrame, sample: DataFrame, index: Index) -> DataFrame:
     return center.apply(rows)
 
 
-def _sign_lists(codec: str, lists: DataFrame) -> DataFrame:
-    """Residuals as what their sign codes decode to."""
+def _rabitq_lists(lists: DataFrame, bits: int) -> DataFrame:
+    """Residuals as what their codes of ``bits`` bits a component decode to."""
     from vectrill.operators.codecs import rabitq
 
     zero = F.transform("vec", lambda x: F.lit(0.0))
-    coded = rabitq.encode(lists, zero)
-    return coded.withColumn("vec", rabitq.decode(F.col("bits"), F.col("multiplier"), zero)).drop("bits", "or_c", "ip_oc", "multiplier")
+    coded = rabitq.encode(lists, zero, bits=bits)
+    return coded.withColumn("vec", rabitq.decode(F.col("bits"), F.col("multiplier"), zero, 1 << (bits - 1))).drop("bits", "or_c", "ip_oc", "multiplier")
+
+
+@dataclass
+class _Spectral:
+    """Spectral hashes within lists: components against their list's thresholds (list_no, threshold)."""
+
+    thresholds: DataFrame
+    coder: Q.SpectralBits
+    d: int
+
+    @classmethod
+    def fit(cls, n: Node, inverted: I.Inverted, sample: DataFrame, d: int) -> _Spectral:
+        lists = inverted.centroids
+        kind = n["thresholds"] or "g"
+        if kind == "c":
+            thresholds = lists.select("list_no", F.col("centroid").alias("threshold"))
+        else:
+            thresholds = lists.select("list_no", F.transform("centroid", lambda x: F.lit(0.0)).alias("threshold"))
+        if kind == "m":
+            parts = sample.select("list_no", F.posexplode(D.as_double(F.col("vec"))).alias("at", "x")).groupBy("list_no", "at").agg(F.expr("percentile(x, 0.5)").alias("x"))
+            medians = parts.groupBy("list_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("_m"))
+            thresholds = thresholds.join(medians, "list_no", "left").select("list_no", F.coalesce("_m", "threshold").alias("threshold"))
+        return cls(thresholds, Q.SpectralBits(-1e10 if n["period"] is None else n["period"]), d)
+
+    def encode(self, rows: DataFrame, vec: str) -> DataFrame:
+        """``rows`` (list_no, ...) with packed codes for vectors."""
+        coded = rows.join(F.broadcast(self.thresholds), "list_no")
+        return coded.withColumn(vec, V.pack_words(self.coder.bits(D.as_double(F.col(vec)), F.col("threshold")), self.d)).drop("threshold")
+
+    def scan(self, inverted: I.Inverted, queries: DataFrame, nprobe: int, selector) -> DataFrame:
+        """(qid, id, list_no, dis) by Hamming distance; a query has a code for each list."""
+        return inverted.scan(self.encode(inverted.probe(queries, nprobe), "qvec"), D.hamming, selector)
 
 
 def _coarse_centroids(n: Node, sample: DataFrame, rounds: int, similarity: bool) -> np.ndarray:
