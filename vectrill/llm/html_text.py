@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
-A page is parsed into its element tree in one pass. Elements that say what they are (menus, forms, adverts by their
-class, ...) are left out with all they hold. Over the rest, every node gets a composite density: characters per tag,
+A page is parsed into its element tree in one pass. Elements that are never part of an article (menus, footers, ...) are
+left out with all they hold, and so are those that are named so by class, id or role (adverts, ...), unless they turn out
+to be what the article stands in. Over the rest, every node gets a composite density: characters per tag,
 adjusted by the share of characters and tags in links, against that share in the whole body. The node with the largest
 sum of its children's densities is the centre of the article; the smallest density on the path from it up to the
 body is the threshold by which subtrees beside that path belong to the article too.
@@ -36,7 +37,7 @@ _CLOSES = {
 _SCOPE = frozenset("html body table td th caption button object article section div main".split())
 #: Contents are not markup; they run up to the element's own end tag.
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-_NEVER = frozenset("script style noscript template textarea title head nav footer aside form button select option input iframe svg math canvas object dialog menu xmp noembed noframes audio video".split())
+_NEVER = frozenset("script style noscript template textarea title head nav footer aside button select option input iframe svg math canvas object dialog menu xmp noembed noframes audio video".split())
 _KEEP = frozenset("html body article main".split())
 #: Words in a class or an id that name what isn't the article.
 _NAMES = frozenset("""ad ads adv advert adverts advertisement advertising adslot adsense banner banners breadcrumb breadcrumbs captcha
@@ -44,18 +45,34 @@ _NAMES = frozenset("""ad ads adv advert adverts advertisement advertising adslot
  modal nav navbar navigation navi newsletter notice notices notification overlay pager pagination pingback popup promo promotion
  recommended related replies reply respond search share sharing sidebar signin signup skip social sponsor sponsored subscribe
  subscription tags teaser toc toolbar topbar trackback widget widgets""".split())
+#: First parts of a class that tell of a page's state or layout, and last parts that say nothing of the contents.
+_STATES = frozenset("has have is with without no not show hide shows hides can js".split())
+_PLAIN = frozenset("area block bottom box container group inner item items left links list outer placeholder posts right section slot top unit wrap wrapper x".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
 
 class _Tree:
     """Elements in page order, as parallel lists; ``pieces`` are (node, text, block) in page order."""
 
-    __slots__ = ("tag", "parent", "chars", "links", "tags", "link_tags", "pieces", "body")
+    __slots__ = ("tag", "parent", "chars", "links", "tags", "link_tags", "pieces", "body", "named")
 
     def __init__(self) -> None:
         self.tag, self.parent, self.chars, self.links, self.tags, self.link_tags = ["#page"], [-1], [0], [0], [0], [0]
         self.pieces: list[tuple[int, str, int]] = []
         self.body = 0
+        self.named: list[int] = []
+
+
+def _name_of(token: str) -> str:
+    """What a class or an id calls the element itself: the whole of it, or the last part that says something."""
+    if token.lower() in _NAMES:
+        return token.lower()
+    parts = [p.lower() for p in _PART.findall(token)]
+    if any(p in _STATES for p in parts):
+        return ""
+    while len(parts) > 1 and (parts[-1] in _PLAIN or parts[-1].isdigit()):
+        parts.pop()
+    return parts[-1] if parts and parts[-1] != "hidden" else ""
 
 
 def _names_boilerplate(tag: str, source: str, in_article: bool) -> bool:
@@ -69,7 +86,7 @@ def _names_boilerplate(tag: str, source: str, in_article: bool) -> bool:
         if name == "role" and value.lower() in _ROLES:
             return True
         if name in ("class", "id"):
-            parts = {p.lower() for p in _PART.findall(value)} & _NAMES
+            parts = {_name_of(token) for token in value.split()} & _NAMES
             if parts - {"header"} or parts and not in_article:
                 return True
     return False
@@ -143,8 +160,9 @@ def parse(page: str) -> _Tree:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, pos)
             pos = close.end() if close else end
             continue
-        if not skip and (tag in _NEVER or tag == "header" and not article or tag not in _KEEP and _names_boilerplate(tag, source, bool(article))):
+        if not skip and (tag in _NEVER or tag == "header" and not article):
             skip = len(stack)
+        named = not skip and tag not in _KEEP and (tag == "form" or _names_boilerplate(tag, source, bool(article)))
         if tag in ("article", "main") and not article:
             article = len(stack)
         tree.tag.append(tag)
@@ -152,6 +170,8 @@ def parse(page: str) -> _Tree:
         for values in (tree.chars, tree.links, tree.tags, tree.link_tags):
             values.append(0)
         stack.append(len(tree.tag) - 1)
+        if named:
+            tree.named.append(len(tree.tag) - 1)
         if skip:
             tree.tags[-1] = -1
         elif tag == "body":
@@ -159,6 +179,27 @@ def parse(page: str) -> _Tree:
     return tree
 
 
+def _left_out(tree: _Tree, plain: list[int]) -> list[int]:
+    """Of the elements named as boilerplate, those to leave out. ``plain``: characters of each node outside links.
+
+    One that contains an article or main element, or most of the page's text, is a wrapper and stays; but if there is
+    an article beside it of some size, it is a long list of comments or the like.
+    """
+    n, parent = len(tree.tag), tree.parent
+    total, last = list(plain), list(range(n))
+    for i in range(n - 1, 0, -1):
+        total[parent[i]] += total[i]
+        last[parent[i]] = max(last[parent[i]], last[i])
+    marked = [i for i in range(n) if tree.tag[i] in ("article", "main") and tree.tags[i] >= 0 and total[i]]
+    out = []
+    for i in tree.named:
+        wrapper = 2 * total[i] > total[0] or any(i < m <= last[i] for m in marked)
+        beside = any((m > last[i] or last[m] < i) and 10 * total[m] >= total[i] for m in marked)
+        if not wrapper or beside:
+            out.append(i)
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by newlines; '' for NULL, empty pages and pages without text."""
     if not page:
@@ -175,6 +216,14 @@ def main_text(page: str | None) -> str:
         chars[node] += size
         if in_link[node]:
             links[node] += size
+    if tree.named:
+        for i in _left_out(tree, [c - k for c, k in zip(chars, links, strict=True)]):
+            out[i] = True
+        for i in range(1, n):
+            out[i] = out[i] or out[parent[i]]
+            if out[i]:
+                chars[i] = links[i] = 0
+        pieces = [x for x in pieces if not out[x[0]]]
     for i in range(n - 1, 0, -1):
         if out[i]:
             continue
