@@ -25,10 +25,18 @@ def _squared(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", d, d)
 
 
-def best_first(x: np.ndarray, links: list[np.ndarray], q: np.ndarray, entries: list[int], ef: int) -> list[tuple[float, int]]:
+def _opposite(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return -(x @ q)
+
+
+#: What graphs are made and walked by; the smaller, the nearer.
+METRICS = {"l2": _squared, "ip": _opposite}
+
+
+def best_first(x: np.ndarray, links: list[np.ndarray], q: np.ndarray, entries: list[int], ef: int, which: str = "l2") -> list[tuple[float, int]]:
     """The ``ef`` nearest nodes found from the entries; stops when the nearest open node is beyond all of them."""
-    seen = set(entries)
-    first = _squared(x[entries], q)
+    measure, seen = METRICS[which], set(entries)
+    first = measure(x[entries], q)
     open_, found = [(float(d), e) for d, e in zip(first, entries, strict=True)], [(-float(d), -e) for d, e in zip(first, entries, strict=True)]
     heapq.heapify(open_)
     heapq.heapify(found)
@@ -40,7 +48,7 @@ def best_first(x: np.ndarray, links: list[np.ndarray], q: np.ndarray, entries: l
             break
         fresh = [int(n) for n in links[node] if n not in seen]
         seen.update(fresh)
-        for dn, n in zip(_squared(x[fresh], q) if fresh else (), fresh, strict=True):
+        for dn, n in zip(measure(x[fresh], q) if fresh else (), fresh, strict=True):
             if len(found) < ef or dn < -found[0][0]:
                 heapq.heappush(open_, (float(dn), n))
                 heapq.heappush(found, (-float(dn), -n))
@@ -49,13 +57,13 @@ def best_first(x: np.ndarray, links: list[np.ndarray], q: np.ndarray, entries: l
     return sorted((-d, -n) for d, n in found)
 
 
-def spread_out(x: np.ndarray, candidates: list[tuple[float, int]], most: int) -> list[int]:
+def spread_out(x: np.ndarray, candidates: list[tuple[float, int]], most: int, which: str = "l2") -> list[int]:
     """From near to far, those that aren't nearer to one already kept than to the node itself."""
     kept: list[int] = []
     for d, n in candidates:
         if len(kept) >= most:
             break
-        if not kept or (_squared(x[kept], x[n]) >= d).all():
+        if not kept or (METRICS[which](x[kept], x[n]) >= d).all():
             kept.append(n)
     return kept
 
@@ -71,6 +79,7 @@ class SmallWorld:
     levels: np.ndarray | None = None
     links: list[list[np.ndarray]] = field(default_factory=list)
     entry: int = 0
+    which: str = "l2"
 
     def build(self, x: np.ndarray) -> SmallWorld:
         self.x = np.asarray(x, float)
@@ -86,11 +95,11 @@ class SmallWorld:
             at = [self.entry]
             for level in range(top, -1, -1):
                 if level > self.levels[i]:
-                    at = [best_first(self.x, self.links[level], self.x[i], at, 1)[0][1]]
+                    at = [best_first(self.x, self.links[level], self.x[i], at, 1, self.which)[0][1]]
                     continue
-                near = best_first(self.x, self.links[level], self.x[i], at, self.ef_build)
+                near = best_first(self.x, self.links[level], self.x[i], at, self.ef_build, self.which)
                 most = 2 * self.m if level == 0 else self.m
-                chosen = spread_out(self.x, near, most)
+                chosen = spread_out(self.x, near, most, self.which)
                 self.links[level][i] = np.array(chosen)
                 for c in chosen:
                     self._link_back(level, c, int(i), most)
@@ -100,15 +109,15 @@ class SmallWorld:
     def _link_back(self, level: int, node: int, new: int, most: int) -> None:
         have = np.append(self.links[level][node], new)
         if len(have) > most:
-            d = _squared(self.x[have], self.x[node])
-            have = np.array(spread_out(self.x, sorted(zip(d.tolist(), have.tolist(), strict=True)), most))
+            d = METRICS[self.which](self.x[have], self.x[node])
+            have = np.array(spread_out(self.x, sorted(zip(d.tolist(), have.tolist(), strict=True)), most, self.which))
         self.links[level][node] = have
 
     def search(self, q: np.ndarray, k: int, ef: int = 16) -> list[tuple[float, int]]:
         at = [self.entry]
         for level in range(len(self.links) - 1, 0, -1):
-            at = [best_first(self.x, self.links[level], q, at, 1)[0][1]]
-        return best_first(self.x, self.links[0], q, at, max(ef, k))[:k]
+            at = [best_first(self.x, self.links[level], q, at, 1, self.which)[0][1]]
+        return best_first(self.x, self.links[0], q, at, max(ef, k), self.which)[:k]
 
     def edges(self, ids: np.ndarray) -> pd.DataFrame:
         rows = [(ids[s], level, r, ids[t]) for level, table in enumerate(self.links) for s, targets in enumerate(table) for r, t in enumerate(targets)]
@@ -124,27 +133,30 @@ class SpreadGraph:
     x: np.ndarray | None = None
     links: list[np.ndarray] = field(default_factory=list)
     entry: int = 0
+    which: str = "l2"
 
     def build(self, x: np.ndarray, near: list[np.ndarray] | None = None) -> SpreadGraph:
         self.x = np.asarray(x, float)
         n = len(self.x)
         if near is None:
-            near = [np.argsort(_squared(self.x, v), kind="stable")[1 : self.candidates + 1] for v in self.x]
-        self.entry = int(_squared(self.x, self.x.mean(axis=0)).argmin()) if n else 0
+            orders = (np.argsort(METRICS[self.which](self.x, v), kind="stable") for v in self.x)
+            # by inner product a row need not be the nearest to itself
+            near = [(o[1:] if self.which == "l2" else o[o != i])[: self.candidates] for i, o in enumerate(orders)]
+        self.entry = int(METRICS[self.which](self.x, self.x.mean(axis=0)).argmin()) if n else 0
         pruned = []
         for i in range(n):
-            walked = best_first(self.x, near, self.x[i], [self.entry], self.candidates) if n > 1 else []
+            walked = best_first(self.x, near, self.x[i], [self.entry], self.candidates, self.which) if n > 1 else []
             pool = {int(j): float(d) for d, j in walked if j != i}
-            pool.update(zip(map(int, near[i]), _squared(self.x[near[i]], self.x[i]).tolist(), strict=True) if len(near[i]) else ())
-            pruned.append(spread_out(self.x, sorted((d, j) for j, d in pool.items())[: self.candidates], self.r))
+            pool.update(zip(map(int, near[i]), METRICS[self.which](self.x[near[i]], self.x[i]).tolist(), strict=True) if len(near[i]) else ())
+            pruned.append(spread_out(self.x, sorted((d, j) for j, d in pool.items())[: self.candidates], self.r, self.which))
         sets = [list(p) for p in pruned]
         for i, p in enumerate(pruned):
             for j in p:
                 if i not in sets[j]:
                     sets[j].append(i)
                     if len(sets[j]) > self.r:
-                        d = _squared(self.x[sets[j]], self.x[j])
-                        sets[j] = spread_out(self.x, sorted(zip(d.tolist(), sets[j], strict=True)), self.r)
+                        d = METRICS[self.which](self.x[sets[j]], self.x[j])
+                        sets[j] = spread_out(self.x, sorted(zip(d.tolist(), sets[j], strict=True)), self.r, self.which)
         self.links = [np.array(s, int) for s in sets]
         self._connect()
         return self
@@ -155,7 +167,7 @@ class SpreadGraph:
         for lost in [None, *range(len(self.links))]:
             if lost is not None and lost not in reached:
                 inside = np.fromiter(reached, int)
-                host = int(inside[_squared(self.x[inside], self.x[lost]).argmin()])
+                host = int(inside[METRICS[self.which](self.x[inside], self.x[lost]).argmin()])
                 self.links[host] = np.append(self.links[host], lost)
                 reached.add(lost)
                 stack.append(lost)
@@ -166,14 +178,16 @@ class SpreadGraph:
                         stack.append(int(t))
 
     def search(self, q: np.ndarray, k: int, ef: int = 16) -> list[tuple[float, int]]:
-        return best_first(self.x, self.links, q, [self.entry], max(ef, k))[:k]
+        return best_first(self.x, self.links, q, [self.entry], max(ef, k), self.which)[:k]
 
 
-def graph_knn(queries: DataFrame, base: DataFrame, k: int, ef: int = 64, kind: str = "hnsw", m: int = 16, shard_rows: int = 100_000, most_queries: int = 20_000) -> DataFrame:
-    """k-NN by a graph per shard; a shard has about ``shard_rows`` rows. ``kind``: hnsw or nsg.
+def graph_knn(queries: DataFrame, base: DataFrame, k: int, ef: int = 64, kind: str = "hnsw", m: int = 16, shard_rows: int = 100_000, most_queries: int = 20_000, which: str = "l2") -> DataFrame:
+    """k-NN by a graph per shard; a shard has about ``shard_rows`` rows. ``kind``: hnsw or nsg; ``which``: l2 or ip.
 
     Queries are sent to all tasks, in several passes beyond ``most_queries``.
     """
+    if which not in METRICS:
+        raise ValueError(f"no graph search by {which}")
     n = base.count()
     shards = max(1, -(-n // shard_rows))
     blocks = max(1, -(-queries.count() // most_queries))
@@ -183,17 +197,18 @@ def graph_knn(queries: DataFrame, base: DataFrame, k: int, ef: int = 64, kind: s
         part = queries.select("qid", D.as_double(F.col("qvec")).alias("qvec")).where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toPandas()
         sent = spark.sparkContext.broadcast((part["qid"].to_numpy(), [np.asarray(v) for v in part["qvec"]]))
 
-        mine = sharded.groupBy("_shard").applyInPandas(_shard_search(sent, k, ef, kind, m), "qid long, id long, dis double")
+        mine = sharded.groupBy("_shard").applyInPandas(_shard_search(sent, k, ef, kind, m, which), "qid long, id long, dis double")
         found = mine if found is None else found.union(mine)
-    return top_k(found, k).select("qid", "rank", "id", "dis")
+    return top_k(found, k, descending=which == "ip").select("qid", "rank", "id", "dis")
 
 
-def _shard_search(sent, k: int, ef: int, kind: str, m: int):
+def _shard_search(sent, k: int, ef: int, kind: str, m: int, which: str):
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
         x, ids = np.stack(rows["vec"].to_numpy()), rows["id"].to_numpy()
-        graph = SmallWorld(m).build(x) if kind == "hnsw" else SpreadGraph(2 * m).build(x)
-        out = [(qid, ids[i], d) for qid, q in zip(*sent.value, strict=True) for d, i in graph.search(q, k, ef)]
+        graph = (SmallWorld(m, which=which) if kind == "hnsw" else SpreadGraph(2 * m, which=which)).build(x)
+        sign = -1.0 if which == "ip" else 1.0
+        out = [(qid, ids[i], sign * d) for qid, q in zip(*sent.value, strict=True) for d, i in graph.search(q, k, ef)]
         return pd.DataFrame(out, columns=["qid", "id", "dis"])
 
     return search

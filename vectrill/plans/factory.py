@@ -354,7 +354,7 @@ class Index:
         if self.inverted is not None:
             return self.inverted.search(q, k, nprobe, selector=selector).select("qid", "rank", "id", "dis")
         if plan.coarse is not None and plan.coarse.kind in ("hnsw", "nsg"):
-            return G.graph_knn(q, rows if selector is None else selector.apply(rows), k, ef, plan.coarse.kind, plan.coarse["m"])
+            return G.graph_knn(q, rows if selector is None else selector.apply(rows), k, ef, plan.coarse.kind, plan.coarse["m"], which=self.which)
         return S.knn(q, rows, k, self.which, selector=selector)
 
     def range_search(self, queries: DataFrame, radius: float, nprobe: int = 1, selector=None) -> DataFrame:
@@ -373,6 +373,8 @@ def build(text: str | Plan, base: DataFrame, which: str = "l2", train: DataFrame
     plan = parse(text) if isinstance(text, str) else text
     if plan.code.kind == "spectral" and which != "l2":
         raise UnsupportedPlan("spectral hashes are for l2 only")
+    if plan.coarse is not None and plan.coarse.kind in ("hnsw", "nsg") and which not in G.METRICS:
+        raise UnsupportedPlan(f"no graph search by {which}")
     train = base if train is None else train
     if plan.binary:
         index = Index(plan, "hamming", rows=base, originals=base)
