@@ -140,13 +140,14 @@ def _covered(rule: Rule, data: dict[str, np.ndarray], n: int) -> np.ndarray:
     return inside
 
 
-def _thresholds(values: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    """Midpoints between neighbouring values of different class."""
+def _cuts(values: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Midpoints between all neighbouring values, with the rows and the bad rows below each."""
     order = np.argsort(values, kind="stable")
-    v, b = values[order], bad[order]
-    at = np.flatnonzero((b[1:] != b[:-1]) & (v[1:] != v[:-1]))
+    v = values[order]
+    at = np.flatnonzero(v[1:] != v[:-1])
     edges = (v[at] + v[at + 1]) / 2
-    return edges if len(edges) <= 256 else edges[np.linspace(0, len(edges) - 1, 256).astype(int)]
+    below = np.searchsorted(v, edges, "left")
+    return edges, below, np.concatenate([[0], np.cumsum(bad[order])])[below]
 
 
 def _grow(data: dict[str, np.ndarray], bad: np.ndarray, longest: int) -> Rule:
@@ -155,16 +156,15 @@ def _grow(data: dict[str, np.ndarray], bad: np.ndarray, longest: int) -> Rule:
         p0, n0 = bad[inside].sum(), (~bad[inside]).sum()
         base, best = np.log2(p0 / (p0 + n0)), (1e-9, None)
         for feature, values in data.items():
-            v, b = values[inside], bad[inside]
-            order = np.argsort(v, kind="stable")
-            ahead = np.concatenate([[0], np.cumsum(b[order])])
-            for x in _thresholds(v, b):
-                k = int(np.searchsorted(v[order], x, "left"))
-                for above, p, n in ((False, ahead[k], k - ahead[k]), (True, p0 - ahead[k], n0 - (k - ahead[k]))):
-                    if p > 0:
-                        gain = p * (np.log2(p / (p + n)) - base)
-                        if gain > best[0]:
-                            best = (gain, Condition(feature, above, float(x)))
+            edges, below, p = _cuts(values[inside], bad[inside])
+            if not len(edges):
+                continue
+            found = np.stack([p, p0 - p], axis=1)  # below, above
+            covered = np.stack([below, p0 + n0 - below], axis=1)
+            gain = np.where(found > 0, found * (np.log2(np.maximum(found, 1) / np.maximum(covered, 1)) - base), 0.0).ravel()
+            k = int(gain.argmax())
+            if gain[k] > best[0]:
+                best = (gain[k], Condition(feature, bool(k % 2), float(edges[k // 2])))
         if best[1] is None:
             break
         rule = (*rule, best[1])
