@@ -41,6 +41,12 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     return written
 
 
+def written_bytes(df: DataFrame) -> int:
+    """The size of the files of a table that :func:`materialize` wrote. No job is run for it."""
+    target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_path)
+    return target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
 def mark() -> int:
     """Where the list of written tables ends now, for :func:`discard`."""
     return len(_WRITTEN)
