@@ -1,9 +1,11 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Every line that has a word is a node with the labels good and bad. Its potential is linear in features of the line and
-of its two neighbours, and a 2x2 table scores each pair of labels in a row. Lines take the label of their document
-for training, by gradient ascent of the conditional likelihood; forward-backward gives every line's probability of
-being good, and a document's score is the mean of these, weighted by the lines' lengths.
+of its two neighbours, and a 2x2 table scores each pair of labels in a row. Lines have no labels of their own in
+training: they are hidden, and tied to the label of their document, by ``TIE`` times their share of its characters. What is
+fitted is the probability of the documents' labels, summed over all labels of the lines by forward-backward, so that
+a good document may hold bad lines and a bad one good lines. A document's score is that probability: of the
+length-weighted labels of its lines, and no text as a whole is looked at.
 
 All lines of a batch are handled together: at step t, one operation serves the t-th line of all texts.
 """
@@ -19,8 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectrill.llm.batches import bounded
 from vectrill.llm.quality_rules import _DIGIT, _MARK, _SYMBOL, _UPPER, _repeats
 from vectrill.llm.textbuf import LEAD, cut, no_nulls, runs
+from vectrill.runtime import materialize
 
 _BREAK = np.zeros(256, bool)
 _BREAK[0x0A] = True
@@ -28,6 +32,7 @@ _STOP = np.zeros(256, bool)
 _STOP[list(b".!?:;")] = True
 OWN = 11
 WIDTH = 3 * OWN + 3
+TIE = 6.0
 
 
 def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,27 +103,39 @@ class Chains:
         return cls([begin[:k] + t for t, k in enumerate(alive)])
 
 
-def marginals(score: np.ndarray, link: np.ndarray, chains: Chains) -> tuple[np.ndarray, np.ndarray, float]:
-    """(P(good) of each line, expected counts of label pairs, log partition) for log potentials ``score`` of good."""
+def forward_backward(score: np.ndarray, link: np.ndarray, chains: Chains) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For log potentials ``score`` of good: P(good) of each line, P(label before, label) of each line but the first of a
+    chain, and each line's part of its chain's log partition."""
     node = np.column_stack([np.zeros_like(score), score])
-    node -= node.max(axis=1, keepdims=True)
-    peak = np.maximum(score, 0).sum()
-    node, pair = np.exp(node), np.exp(link)
+    peak = np.maximum(score, 0)
+    node = np.exp(node - peak[:, None])
+    pair = np.exp(link)
     ahead, scale = np.zeros_like(node), np.ones(len(node))
     for t, rows in enumerate(chains.at):
         a = node[rows] if t == 0 else (ahead[chains.at[t - 1][: len(rows)]] @ pair) * node[rows]
         scale[rows] = a.sum(axis=1)
         ahead[rows] = a / scale[rows, None]
-    behind, pairs = np.ones_like(node), np.zeros((2, 2))
+    behind, pairs = np.ones_like(node), np.zeros((len(node), 2, 2))
     for t in range(len(chains.at) - 1, 0, -1):
         rows = chains.at[t]
         before = chains.at[t - 1][: len(rows)]
         b = node[rows] * behind[rows] / scale[rows, None]
-        pairs += pair * (ahead[before].T @ b)
+        pairs[rows] = pair * ahead[before][:, :, None] * b[:, None, :]
         behind[before] = b @ pair.T
     both = ahead * behind
     good = both[:, 1] / both.sum(axis=1) if len(both) else np.zeros(0)
-    return good, pairs, float(np.log(scale).sum() + peak)
+    return good, pairs, np.log(scale) + peak
+
+
+def documents(score: np.ndarray, link: np.ndarray, chars: np.ndarray, owner: np.ndarray, n: int, bias: float = 0.0):
+    """P(good) of each of ``n`` documents, and the hidden lines' (P(good), pairs) given a bad and given a good document."""
+    chains = Chains.of(owner)
+    total = np.bincount(owner, chars, n)
+    tie = TIE * chars / np.maximum(total, 1)[owner] / 2
+    given = [forward_backward(score + sign * 2 * tie, link, chains) for sign in (-1, 1)]
+    # with the tie of bad lines to a bad document, which is the same for the good ones
+    odds = np.bincount(owner, given[1][2], n) - np.bincount(owner, given[0][2], n) - np.bincount(owner, 2 * tie, n) + bias
+    return 1 / (1 + np.exp(-np.clip(odds, -60, 60))), [g[:2] for g in given]
 
 
 @dataclass
@@ -127,54 +144,50 @@ class LineModel:
     spread: np.ndarray
     weights: np.ndarray
     link: np.ndarray
+    bias: float
     prior: float
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """A score in [0, 1] for each text; texts without words get the share of good ones in training."""
         own, chars, owner = line_features(texts)
         x = (with_neighbours(own, owner) - self.mean) / self.spread
-        good, _, _ = marginals(np.clip(x @ self.weights, -30, 30), self.link, Chains.of(owner))
-        total = np.bincount(owner, chars, len(texts))
-        mass = np.bincount(owner, chars * good, len(texts))
-        return np.clip(np.where(total > 0, mass / np.maximum(total, 1), self.prior), 0.0, 1.0)
+        good, _ = documents(np.clip(x @ self.weights, -30, 30), self.link, chars, owner, len(texts), self.bias)
+        return np.where(np.bincount(owner, chars, len(texts)) > 0, good, self.prior)
 
 
-def train(texts: list[str], good: np.ndarray, rounds: int = 250, rate: float = 0.05, ridge: float = 1e-3) -> LineModel:
-    """Fit to documents marked good (1) or bad (0). A sample with one class, or none, gives its share as every score."""
+def train(own: np.ndarray, chars: np.ndarray, owner: np.ndarray, good: np.ndarray, rounds: int = 200, rate: float = 0.05, ridge: float = 1e-3) -> LineModel:
+    """Fit to the lines (see :func:`line_features`) of documents marked good (1) or bad (0).
+
+    A sample with one class, or none, gives its share as every score.
+    """
     good = np.asarray(good, float)
     prior = float(good.mean()) if len(good) else 0.5
-    own, _, owner = line_features(pa.array(texts, pa.string()))
     x = with_neighbours(own, owner)
     mean, spread = (x.mean(axis=0), x.std(axis=0)) if len(x) else (np.zeros(WIDTH), np.ones(WIDTH))
     spread[spread < 1e-6] = 1
     mean[0], spread[0] = 0, 1
-    model = LineModel(mean, spread, np.zeros(WIDTH), np.zeros((2, 2)), prior)
     if not len(x) or good.min() == good.max():
-        return LineModel(mean, spread, np.eye(WIDTH)[0] * (30 if prior > 0.5 else -30 if len(good) and prior < 0.5 else 0), model.link, prior)
+        return LineModel(mean, spread, np.zeros(WIDTH), np.zeros((2, 2)), {0.0: -30.0, 1.0: 30.0}.get(prior if len(good) else 0.5, 0.0), prior)
     x = (x - mean) / spread
-    label, chains = good[owner], Chains.of(owner)
-    # every document counts the same, whatever its lines
-    each = 1.0 / np.bincount(owner, minlength=len(texts))[owner]
-    n = len(np.unique(owner))
-    seen = np.zeros((2, 2))
-    for t in range(1, len(chains.at)):
-        rows = chains.at[t]
-        k = label[rows].astype(int)
-        np.add.at(seen, (k, k), 1)
-    w, link = model.weights, model.link
-    moments = [np.zeros(WIDTH), np.zeros(WIDTH), np.zeros((2, 2)), np.zeros((2, 2))]
-    for step in range(1, rounds + 1):
-        p, pairs, _ = marginals(np.clip(x @ w, -30, 30), link, chains)
-        gw = x.T @ ((label - p) * each) / n - ridge * w
-        gl = (seen - pairs) / len(x) - ridge * link
-        for i, (value, g) in enumerate(((w, gw), (link, gl))):
-            m, v = moments[2 * i], moments[2 * i + 1]
+    values = [np.zeros(WIDTH), np.zeros((2, 2)), np.zeros(1)]
+    moments = [(np.zeros_like(v), np.zeros_like(v)) for v in values]
+    some = np.bincount(owner, minlength=len(good)) > 0
+    # a line is to be told by itself first, then by its neighbours
+    held = np.where((np.arange(WIDTH) > OWN), 20 * ridge, ridge)
+    for turn in range(1, rounds + 1):
+        p, (bad_lines, good_lines) = documents(np.clip(x @ values[0], -30, 30), values[1], chars, owner, len(good), values[2][0])
+        off = np.where(some, good - p, 0.0)
+        gradients = (
+            x.T @ (off[owner] * (good_lines[0] - bad_lines[0])) / some.sum() - held * values[0],
+            (off[owner][:, None, None] * (good_lines[1] - bad_lines[1])).sum(axis=0) / some.sum() - 100 * ridge * values[1],
+            off.sum(keepdims=True) / some.sum())
+        for value, g, (m, v) in zip(values, gradients, moments, strict=True):
             m *= 0.9
             m += 0.1 * g
             v *= 0.999
             v += 0.001 * g * g
-            value += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return model
+            value += rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.999**turn)) + 1e-8)
+    return LineModel(mean, spread, values[0], values[1], float(values[2][0]), prior)
 
 
 def held_out(key: str = "doc_id"):
@@ -182,22 +195,47 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train_from(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 4000) -> LineModel:
-    """Fit to at most ``sample`` labelled documents outside the held-out fold: those of the smallest hash of the key."""
+def train_from(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 4000, lines: int = 400_000) -> LineModel:
+    """Fit to at most ``sample`` labelled documents of at most ``lines`` lines in all, outside the held-out fold: those of the
+    smallest hash of key and text. Lines' features reach the driver, not texts."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("_key")).agg(F.min(label).alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("_key"), "_key").limit(sample)
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_key")
-    found = rows.orderBy(F.xxhash64("_key"), "_key", "_text").limit(sample).collect()
-    return train([r["_text"] for r in found], np.array([r["_label"] for r in found], float))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, chars, owner = line_features(batch.column(1))
+            at = np.searchsorted(owner, np.arange(len(batch) + 1))
+            packed = [(own[a:b].astype(np.float32).tobytes(), chars[a:b].astype(np.int64).tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(at)), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())], names=["h", "label", "n", "own", "chars"])
+
+    rows = rows.select(F.xxhash64("_key", "_text").alias("h"), "_text", F.col("_label").cast("long").alias("label"))
+    bounded(docs.sparkSession)
+    found = materialize(rows.mapInArrow(run, "h long, label long, n long, own binary, chars binary").dropDuplicates(["h"]), "lines")
+    taken, total = None, 0
+    for r in found.select("h", "n").orderBy("h").limit(sample).collect():
+        total += r.n
+        if total > lines:
+            break
+        taken = r.h
+    got = found.where(F.col("h") <= taken).orderBy("h").toArrow().to_pylist() if taken is not None else []
+    own = np.frombuffer(b"".join(r["own"] for r in got), np.float32).reshape(-1, OWN).astype(float)
+    chars = np.frombuffer(b"".join(r["chars"] for r in got), np.int64)
+    return train(own, chars, np.repeat(np.arange(len(got)), [r["n"] for r in got]).astype(np.int64), np.array([r["label"] for r in got], float))
 
 
 def score(docs: DataFrame, model: LineModel, key: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """One row per document: ``key``, ``held_out``, ``score``, ``predicted``. Rows are independent of each other."""
-    schema = T.StructType([docs.schema[key], T.StructField("score", T.DoubleType())])
+    """One row per document: ``key``, ``held_out``, ``score``, ``predicted``.
+
+    NULL texts, empty ones and those without words get the share of good documents in training. Rows are independent:
+    repeated rows get equal scores, ties don't arise, NULL keys aren't held out, and an empty table gives an empty result.
+    """
+    bounded(docs.sparkSession)
+    schema = T.StructType([T.StructField("_key", docs.schema[key].dataType), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(model.scores(batch.column(text)))], names=[key, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1)))], names=["_key", "score"])
 
-    out = docs.select(key, text).mapInArrow(run, schema)
-    return out.select(key, held_out(key).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, schema)
+    return out.select(F.col("_key").alias(key), held_out("_key").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
