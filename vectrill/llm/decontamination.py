@@ -5,14 +5,14 @@ runs over words instead of characters, as a window of 13 words begins and ends w
 numbers of the benchmark's words, any other word of a text is symbol 0 and leads back to the root. Each text is
 scanned once; the windows found are kept as word positions, which map back to character offsets of the original.
 
-The automaton is sent to the executors only up to ``max_words`` words of benchmark text. A larger benchmark is divided
-into blocks of at most about that size, each with its automaton, and the texts pass one after the other; the word
-positions hit so far travel with each row, so that counts are of the union.
+The automaton is sent to the executors only up to ``max_words`` words and 16 bytes for each of them. A larger benchmark
+is divided into blocks within these bounds, each with its automaton. The texts are then scanned once for each block; only
+a row number and what was hit leave a scan, and the counts are of the union.
 """
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 import re
 import uuid
 from collections import defaultdict
@@ -21,9 +21,11 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vectrill.llm.batches import bounded
+from vectrill.llm.names import fresh, quoted, without
 from vectrill.runtime import materialize
 
 WINDOW = 13
@@ -80,83 +82,100 @@ def _automaton(token: str, items) -> WindowAutomaton:
     return _BUILT[token]
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, max_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Blocks of items of about ``max_words`` words, one at a time on the driver. NULL ids read as ''."""
-    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # a word and its separator take two bytes at least, six as a rule
-    n = max(1, -(-int(n_bytes) // (6 * max_words)))
-    block = F.pmod(F.xxhash64("id", "text"), F.lit(n))
-    for i in range(n):
-        found = rows.where(block == i).orderBy("id", "text").collect() if n > 1 else rows.orderBy("id", "text").collect()
-        yield [(r.id, words_of(r.text)) for r in found]
+def _blocks(benchmark: DataFrame, item: str, text: str, max_words: int, window: int = WINDOW) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Blocks of items of at most ``max_words`` words, one at a time on the driver. NULL ids read as ''.
+
+    A longer item is cut into pieces that share ``window - 1`` words, so that each of its windows is in one of them.
+    """
+    rows = benchmark.select(F.coalesce(quoted(item).cast("string"), F.lit("")).alias("id"), F.coalesce(quoted(text), F.lit("")).alias("text"))
+    block: list[tuple[str, list[bytes]]] = []
+    n = n_bytes = 0
+    most = max(max_words, window)
+    for row in rows.toLocalIterator():
+        words = words_of(row.text)
+        for start in range(0, max(1, len(words) - window + 1), most - window + 1):
+            piece = words[start : start + most]
+            size = sum(map(len, piece))
+            if block and (n + len(piece) > most or n_bytes + size > 16 * most):
+                yield block
+                block, n, n_bytes = [], 0, 0
+            block.append((row.id, piece))
+            n, n_bytes = n + len(piece), n_bytes + size
+    yield block
+
+
+_FOUND = "struct<n:bigint,hit:array<int>,items:array<string>>"
+_FOUND_ARROW = pa.struct([("n", pa.int64()), ("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+
+
+def _scan(text: Column, sent, token: str) -> Column:
+    """The number of words of each text, the words hit and the items found, NULL if none. Runs once for each row."""
+
+    def scan(texts: pa.Array) -> pa.Array:
+        machine = _automaton(token, sent.value)
+        out = []
+        for value in texts.cast(pa.binary()):
+            words = words_of(value.as_py())
+            found = machine.scan(words)
+            at, who = set(), set()
+            for first, n, owners in found:
+                at.update(range(first, first + n))
+                who.update(machine.names[o] for o in owners)
+            out.append({"n": len(words), "hit": sorted(at) if found else None, "items": sorted(who) if found else None})
+        return pa.array(out, _FOUND_ARROW)
+
+    return F.arrow_udf(scan, _FOUND).asNondeterministic()(text)
+
+
+def _spans(text: Column, hit: Column) -> Column:
+    def place(texts: pa.Array, hits: pa.Array) -> pa.Array:
+        out = []
+        for t, hit in zip(texts, hits, strict=True):
+            at = np.array(hit.as_py() or [], np.int64)
+            where = original_spans(t.as_py()) if len(at) else []
+            cuts = np.flatnonzero(np.diff(at) > 1)
+            out.append([{"begin": where[a][0], "end": where[b][1]} for a, b in zip(at[[0, *(cuts + 1)]], at[[*cuts, -1]], strict=True)] if len(at) else [])
+        return pa.array(out, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))
+
+    return F.arrow_udf(place, "array<struct<begin:int,end:int>>")(text, hit)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", max_words: int = 100_000, spans: bool = False, prefix: str = "") -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items_sha256, contaminated and, with ``spans``, hit_spans.
 
     A text is contaminated if it has hit words and they are at least a twentieth of its words. ``prefix`` goes
-    before the names of the added columns, where ``docs`` has columns of those names. NULL and empty texts have no
-    words; items without words match nothing; equal items and equal ids count once; an empty benchmark hits nothing.
+    before the names of the added columns; columns of ``docs`` of those names are replaced, others don't matter. NULL
+    and empty texts have no words; items without words match nothing; equal items and equal ids count once, and so do
+    repeated rows, each for itself; an empty benchmark hits nothing, and an empty table gives an empty result.
     """
-    context = docs.sparkSession.sparkContext
-    names = [f.name for f in docs.schema]
-    state = docs.withColumn("_hit", F.lit(None).cast("array<int>")).withColumn("_items", F.lit(None).cast("array<string>")).withColumn("_n", F.lit(0).cast("long"))
-    schema = state.schema
-    for number, block in enumerate(_blocks(benchmark, item, item_text, max_words)):
-        if number:
-            state = materialize(state, "decontaminate")
-        sent, token = context.broadcast(block), uuid.uuid4().hex
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent, token=token) -> Iterator[pa.RecordBatch]:
-            machine = _automaton(token, sent.value)
-            for batch in batches:
-                hits, items, lengths = [], [], []
-                before, items_before = batch.column("_hit"), batch.column("_items")
-                texts = batch.column(text).cast(pa.binary())
-                for row in range(len(batch)):
-                    words = words_of(texts[row].as_py())
-                    lengths.append(len(words))
-                    found = machine.scan(words)
-                    if not found:
-                        hits.append(before[row].as_py())
-                        items.append(items_before[row].as_py())
-                        continue
-                    at = set(before[row].as_py() or ())
-                    who = set(items_before[row].as_py() or ())
-                    for first, n, owners in found:
-                        at.update(range(first, first + n))
-                        who.update(machine.names[o] for o in owners)
-                    hits.append(sorted(at))
-                    items.append(sorted(who))
-                kept = [batch.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(lengths, pa.int64())], names=[*names, "_hit", "_items", "_n"])
-
-        state = state.mapInArrow(scan, schema)
-    n_hit = F.coalesce(F.size("_hit"), F.lit(0)).cast("long")
-    n_hit = F.when(F.col("_hit").isNull(), F.lit(0).cast("long")).otherwise(n_hit)
-    n_items = F.when(F.col("_items").isNull(), F.lit(0).cast("long")).otherwise(F.size("_items").cast("long"))
-    joined = F.coalesce(F.array_join(F.array_sort("_items"), ","), F.lit(""))
+    context = bounded(docs.sparkSession).sparkContext
+    result, row = fresh(docs.columns, "_found", "_row")
+    blocks = _blocks(benchmark, item, item_text, max_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        state = docs.withColumn(result, _scan(quoted(text), context.broadcast(first), uuid.uuid4().hex))
+    else:
+        keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
+        hits = []
+        for block in itertools.chain([first, second], blocks):
+            found = keyed.select(row, _scan(quoted(text), context.broadcast(block), uuid.uuid4().hex).alias(result))
+            hits.append(materialize(found.where(F.col(result)["hit"].isNotNull()), "hits"))
+        every = hits[0]
+        for found in hits[1:]:
+            every = every.union(found)
+        merged = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.col(result)[c])))).alias(c) for c in ("hit", "items")]
+        every = every.groupBy(F.col(row).alias("_r")).agg(*merged)
+        words = F.coalesce(F.regexp_count(quoted(text), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+        every = every.select("_r", F.struct("hit", "items").alias("_h"))
+        state = keyed.join(every, F.col(row) == F.col("_r"), "left").select(*map(quoted, docs.columns), F.struct(words.alias("n"), F.col("_h.hit").alias("hit"), F.col("_h.items").alias("items")).alias(result))
+    n, hit, items = (F.col(result)[c] for c in ("n", "hit", "items"))
+    n_hit = F.when(hit.isNull(), F.lit(0)).otherwise(F.size(hit)).cast("long")
     out = {
-        "n_words": F.col("_n"), "n_hit": n_hit, "n_items": n_items, "items_sha256": F.sha2(joined.cast("binary"), 256),
-        "contaminated": (n_hit > 0) & (n_hit * 20 >= F.col("_n")),
+        "n_words": n, "n_hit": n_hit, "n_items": F.when(items.isNull(), F.lit(0)).otherwise(F.size(items)).cast("long"),
+        "items_sha256": F.sha2(F.coalesce(F.array_join(F.array_sort(items), ","), F.lit("")).cast("binary"), 256),
+        "contaminated": (n_hit > 0) & (n_hit * 20 >= n),
     }
-    kept = [c for c in names if c not in {prefix + o for o in out}]
-    found = state.select(*kept, *[v.alias(prefix + c) for c, v in out.items()], "_hit")
-    if not spans:
-        return found.drop("_hit")
-
-    passed = [c for c in found.columns if c != "_hit"]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            out = []
-            for t, hit in zip(batch.column(text), batch.column("_hit"), strict=True):
-                at = np.array(hit.as_py() or [], np.int64)
-                where = original_spans(t.as_py()) if len(at) else []
-                cuts = np.flatnonzero(np.diff(at) > 1)
-                out.append([{"begin": where[a][0], "end": where[b][1]} for a, b in zip(at[[0, *(cuts + 1)]], at[[*cuts, -1]], strict=True)] if len(at) else [])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), pa.array(out, kind)], names=[*passed, prefix + "hit_spans"])
-
-    return found.mapInArrow(place, found.drop("_hit").withColumn(prefix + "hit_spans", F.lit(None).cast("array<struct<begin:int,end:int>>")).schema)
+    if spans:
+        out["hit_spans"] = _spans(quoted(text), hit)
+    kept = without(docs, [prefix + o for o in out])
+    return state.select(*map(quoted, kept), *[v.alias(prefix + c) for c, v in out.items()])
