@@ -2,15 +2,16 @@
 
 Sequential covering: while rejected documents remain uncovered, grow a conjunction of thresholds by information gain
 on the growing part of the labelled sample, prune its last conditions on the pruning part, and accept it if it is
-precise enough there; the documents it covers are taken away and the next rule is learned. The rules become one
-ordered Spark conditional expression, so that applying them needs no Python.
+precise enough on the pruning part, none of whose rows had a say in growing it; the documents it covers are taken away
+and the next rule is learned. A rule that isn't precise enough is given up, and the next begins with another feature or
+direction, until none is left. The rules become one ordered Spark conditional expression, so that applying them needs
+no Python.
 
 The statistics are computed in Arrow batches from the UTF-8 bytes of whole texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectrill.llm.batches import bounded
+from vectrill.llm.names import fresh, quoted, without
 from vectrill.llm.textbuf import LEAD, cut, no_nulls, runs
 
 _SYMBOL = np.zeros(256, bool)
@@ -99,18 +102,24 @@ def statistics(texts: pa.Array) -> list[np.ndarray]:
 
 
 def with_statistics(docs: DataFrame, text: str = "text", prefix: str = "", drop_text: bool = True) -> DataFrame:
-    """``docs`` with COUNTS and RATIOS under ``prefix``; columns of ``docs`` of those names are replaced."""
+    """``docs`` with COUNTS and RATIOS under ``prefix``; columns of ``docs`` of those names are replaced.
+
+    Only the text goes to Python, all other columns wait in the JVM.
+    """
+    bounded(docs.sparkSession)
     added = [prefix + c for c in (*COUNTS, *RATIOS)]
-    kept = [f for f in docs.schema.fields if f.name not in added]
-    kept_names = [f.name for f in kept if f.name != text or not drop_text]
-    fields = [f for f in kept if f.name in kept_names]
-    schema = T.StructType([*fields, *(T.StructField(c, T.LongType() if i < len(COUNTS) else T.DoubleType()) for i, c in enumerate(added))])
+    kept = without(docs, [*added, text] if drop_text else added)
+    (found,) = fresh(docs.columns, "_statistics")
+    kinds = [("long", pa.int64())] * len(COUNTS) + [("double", pa.float64())] * len(RATIOS)
+    fields = [pa.field(c, k) for c, (_, k) in zip((*COUNTS, *RATIOS), kinds, strict=True)]
 
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept_names), *map(pa.array, statistics(batch.column(text)))], names=[*kept_names, *added])
+    def compute(texts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(statistics(texts), fields, strict=True)], fields=fields)
 
-    return docs.select(*dict.fromkeys([*kept_names, text])).mapInArrow(compute, schema)
+    # once for each row, whatever filters follow
+    counted = F.arrow_udf(compute, T.StructType([T.StructField(f.name, T.LongType() if k == "long" else T.DoubleType()) for f, (k, _) in zip(fields, kinds, strict=True)])).asNondeterministic()
+    rows = docs.select(*map(quoted, kept), counted(quoted(text)).alias(found))
+    return rows.select(*map(quoted, kept), *[F.col(found)[f.name].alias(name) for f, name in zip(fields, added, strict=True)])
 
 
 @dataclass(frozen=True)
@@ -150,9 +159,13 @@ def _cuts(values: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return edges, below, np.concatenate([[0], np.cumsum(bad[order])])[below]
 
 
-def _grow(data: dict[str, np.ndarray], bad: np.ndarray, longest: int) -> Rule:
+def _grow(data: dict[str, np.ndarray], bad: np.ndarray, given_up: set[tuple[str, bool]]) -> Rule:
+    """Conditions of the best gain, until only bad rows are covered. The first isn't one of ``given_up``.
+
+    Of equal gains the first feature, the smallest threshold and 'below' win.
+    """
     inside, rule = np.ones(len(bad), bool), ()
-    while len(rule) < longest and bad[inside].any() and not bad[inside].all():
+    while bad[inside].any() and not bad[inside].all():
         p0, n0 = bad[inside].sum(), (~bad[inside]).sum()
         base, best = np.log2(p0 / (p0 + n0)), (1e-9, None)
         for feature, values in data.items():
@@ -161,10 +174,12 @@ def _grow(data: dict[str, np.ndarray], bad: np.ndarray, longest: int) -> Rule:
                 continue
             found = np.stack([p, p0 - p], axis=1)  # below, above
             covered = np.stack([below, p0 + n0 - below], axis=1)
-            gain = np.where(found > 0, found * (np.log2(np.maximum(found, 1) / np.maximum(covered, 1)) - base), 0.0).ravel()
+            gain = np.where(found > 0, found * (np.log2(np.maximum(found, 1) / np.maximum(covered, 1)) - base), 0.0)
+            if not rule:
+                gain[:, [(feature, above) in given_up for above in (False, True)]] = 0.0
             k = int(gain.argmax())
-            if gain[k] > best[0]:
-                best = (gain[k], Condition(feature, bool(k % 2), float(edges[k // 2])))
+            if gain.flat[k] > best[0]:
+                best = (gain.flat[k], Condition(feature, bool(k % 2), float(edges[k // 2])))
         if best[1] is None:
             break
         rule = (*rule, best[1])
@@ -194,24 +209,27 @@ def _tightest(rule: Rule) -> Rule:
     return tuple(kept.values())
 
 
-def learn(features: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.95, longest: int = 4, most: int = 24, least: int = 3) -> list[Rule]:
+def learn(features: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.95, least: int = 3) -> list[Rule]:
     """An ordered list of rules that reject. Rows are dealt to growing (2/3) and pruning (1/3) by position.
 
-    A rule has to be right for ``precision`` of what it covers in the whole remaining sample and to cover ``least``
-    bad rows there. No rules come from a sample with one class only.
+    A rule has to be right for ``precision`` of what it covers in the pruning part, at least one bad row, and to cover
+    ``least`` bad rows in all. No rules come from a sample with one class only.
     """
     rules: list[Rule] = []
+    given_up: set[tuple[str, bool]] = set()
     left, grow = np.ones(len(bad), bool), np.arange(len(bad)) % 3 != 0
-    while len(rules) < most and bad[left & grow].any() and (~bad[left & grow]).any():
+    while bad[left & grow].any() and (~bad[left & grow]).any():
         growing, pruning = left & grow, left & ~grow
-        rule = _grow({k: v[growing] for k, v in features.items()}, bad[growing], longest)
+        rule = _grow({k: v[growing] for k, v in features.items()}, bad[growing], given_up)
         if not rule:
             break
+        first = (rule[0].feature, rule[0].above)
         rule = _tightest(_prune(rule, {k: v[pruning] for k, v in features.items()}, bad[pruning]))
         inside = _covered(rule, features, len(bad)) & left
-        p, n = int(bad[inside].sum()), int((~bad[inside]).sum())
-        if p < least or p < precision * (p + n):
-            break
+        tested = bad[inside & pruning]
+        if bad[inside].sum() < least or not tested.any() or tested.sum() < precision * len(tested):
+            given_up.add(first)
+            continue
         rules.append(rule)
         left &= ~inside
     return rules
@@ -247,7 +265,7 @@ def judge(docs: DataFrame, rules: list[Rule], text: str = "text", prefix: str =
     """``docs`` with the statistics, ``base_failed`` and ``kept``, all under ``prefix``.
 
     NULL and empty texts have no words and fail the base rule. Every row is judged by itself, so that repeated rows
-    and NULL keys need no rule of their own.
+    and NULL keys need no rule of their own, and there are no ties. Columns of ``docs`` of the added names are replaced.
     """
     found = with_statistics(docs, text, prefix, drop_text)
     return found.withColumn(prefix + "base_failed", base_failed(prefix)).withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & ~reject_expression(rules, prefix))
