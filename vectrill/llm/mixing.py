@@ -5,7 +5,8 @@ copies are its source's target over its size. The expected copies are summed up
 random offset is added, and a document is emitted once for each integer boundary that its interval crosses.
 
 The order is by size, so that neighbours are nearly equal in size and the taken words stay within about one document
-of the target. The prefix sum is distributed: rows are range-partitioned by (source, size, key), which splits a hot
+of the target, the largest. As that can be much for a small source, the offset is one of ``DRAWS`` that lie evenly
+behind a random start: that whose taken words come nearest to the target. The prefix sum is distributed: rows are range-partitioned by (source, size, key), which splits a hot
 source over many tasks, each task numbers its rows, and only one count per partition and source is summed up.
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from vectrill.runtime import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
+DRAWS = 16
 
 
 def word_count(text: Column) -> Column:
@@ -47,7 +49,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
 
 
 def offset(source: Column, seed: str) -> Column:
-    """A source's random offset in [0, 1): 32 bits of a digest of the seed and its name."""
+    """The first of a source's random offsets in [0, 1): 32 bits of a digest of the seed and its name."""
     named = F.when(source.isNull(), F.lit(f"{seed}?")).otherwise(F.concat(F.lit(f"{seed}="), source))
     return F.conv(F.substring(F.md5(named.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
@@ -57,7 +59,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     * NULL texts have size 0; a source of size 0 has target 0 and takes nothing.
     * Repeated rows and equal keys are documents of their own; NULL keys come first in the order.
-    * An empty table gives an empty result.
+    * An empty table gives an empty result. Columns that aren't named here aren't read.
     """
     spark = docs.sparkSession
     payload = [F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry)]
@@ -78,13 +80,23 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         "_part", F.col("_source").alias("_s"), "_first", "_begin", "source_size", "target")
 
     # begins has at most (partitions + sources) rows, as each partition boundary cuts one source.
-    joined = placed.withColumn("_part", part).join(
-        F.broadcast(begins.withColumnRenamed("_part", "_p")), (F.col("_part") == F.col("_p")) & F.col("_source").eqNullSafe(F.col("_s")))
+    begins = F.broadcast(materialize(begins.withColumnRenamed("_part", "_p"), "mix-begins"))
+    joined = placed.withColumn("_part", part).join(begins, (F.col("_part") == F.col("_p")) & F.col("_source").eqNullSafe(F.col("_s")))
     rank = (F.col("_at") - F.col("_first") + F.col("_begin")).cast("double")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    u = offset(F.col("_source"), seed)
-    copies = (F.floor((rank + 1) * each + u) - F.floor(rank * each + u)).cast("long")
-    out = joined.withColumn("copies", copies)
+
+    def copies(u: Column) -> Column:
+        return (F.floor((rank + 1) * each + u) - F.floor(rank * each + u)).cast("long")
+
+    def draw(k: int) -> Column:
+        moved = offset(F.col("_source"), seed) + F.lit(k / DRAWS)
+        return moved - F.floor(moved)
+
+    totals = joined.groupBy("_source", "target").agg(*[F.sum(F.col("_size") * copies(draw(k))).alias(f"_t{k}") for k in range(DRAWS)])
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k"), draw(k).alias("u")) for k in range(DRAWS)]))
+    # a row per source
+    draws = materialize(totals.select(F.col("_source").alias("_drawn"), nearest["u"].alias("_u")).coalesce(1), "mix-draws")
+    out = joined.join(F.broadcast(draws), F.col("_source").eqNullSafe(F.col("_drawn"))).withColumn("copies", copies(F.col("_u")))
     return out.select(
         F.col("_key").alias(key), F.col("_source").alias(source), F.col("_size").alias("size"), "source_size", "target", "copies",
         (F.col("_size") * F.col("copies")).alias("taken"), *[F.col(f"_carry_{i}").alias(c) for i, c in enumerate(carry) if c not in (key, source)])

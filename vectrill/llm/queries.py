@@ -22,8 +22,12 @@ t as (select source, source_size, case when level * weight >= most or last is nu
   ('0x' || substr(md5(case when source is null then 'mix?' else 'mix=' || source end), 1, 8))::bigint::double / 4294967296.0::double as u from f),
 r as (select d.*, t.source_size, t.target, t.u, case when t.source_size > 0 then t.target / t.source_size else 0 end as each,
   (row_number() over (partition by d.source order by size, doc_id nulls first) - 1)::double as rank
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target, (size * (floor((rank + 1) * each + u) - floor(rank * each + u)))::bigint as taken from r
+  from d join t on d.source is not distinct from t.source),
+k as (select k, k / 16.0::double as moved from (select unnest(range(16)) as k)),
+c as (select *, (size * (floor((rank + 1) * each + v) - floor(rank * each + v)))::bigint as taken
+  from (select r.*, k.k, (u + moved) - floor(u + moved) as v from r, k)),
+g as (select source, k, row_number() over (partition by source order by abs(sum(taken) - target), k) as best from c group by source, k, target)
+select doc_id, size, source_size, target, taken from c join g on c.k = g.k and c.source is not distinct from g.source and g.best = 1
 """
 
 
