@@ -13,7 +13,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 
 #: Separators of ``[^\x20\x09-\x0D]+``.
 SPACE = np.zeros(256, bool)

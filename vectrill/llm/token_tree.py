@@ -23,6 +23,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from vectrill.llm.batches import bounded
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published pre-token pattern of this vocabulary, fixed.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -211,7 +213,7 @@ def count_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", e
 
     NULL and empty texts have no tokens. Rows are independent. The vocabulary file (1 MB) is read on the driver.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(_read(tokenizer))
+    sent = bounded(docs.sparkSession).sparkContext.broadcast(_read(tokenizer))
     names = ["n_tokens", "n_pretokens", "n_edits", "n_tokens_edited", "n_reencoded"]
     schema = T.StructType([docs.schema[key], *(T.StructField(c, T.LongType()) for c in names)])
 
