@@ -1,24 +1,27 @@
 """Exact Jaccard self-join on word shingles by parity sketches.
 
-A document is the set of its distinct shingles. A sketch is a row of words; each shingle XORs its hash into one of
-them, chosen by another part of the hash. Two sketches differ in at most as many words as their sets have elements
-not in common: the Hamming distance over words is a lower bound of the symmetric difference.
-
-For a similarity of 0.8, sets of a and b elements may differ in at most D = (a + b) / 9 of them. In sketches of more
-than D words, some word must then be equal (pigeonhole), so documents are joined on (size band, word number, word).
-
-* Size bands are octaves of the set size; the sketch's length is in proportion to the octave. A document enters its
-  own octave, and the next one if a partner there is possible. Any pair meets in the octave of its larger set.
-* Words made of fewer than ``LEAST`` shingles say too little and are left out. At most D of a document's words are
-  missing in a partner, so its D + 1 rarest words are enough: put in one order by the number of documents that share
-  them, the first word that two similar documents have in common is among the D + 1 first of both. Words that nobody
-  shares come first and lead to nothing, so that most documents have no candidates at all.
-* A word is crowded if over ``crowd`` documents share it. A document is *safe* if its D + 1 words hold no crowded one;
-  all pairs of a safe document are found through words that aren't crowded.
-* Documents that aren't safe (short ones, and those made of crowded passages) are joined once more by the finest
-  sketch, in which every shingle has a word of its own, with the same rule of the rarest.
-* Crowded shingles that are still needed belong to groups of many near copies. There each document is compared with
-  the smallest of its bucket first, and only what isn't connected by then in all other ways. Nothing is dropped.
+A document is the set of its distinct shingles. Its sketch is a row of bits, each of which is toggled by the shingles
+that hash to it. The Hamming distance of two sketches is a lower bound of the sets' symmetric difference, which for a
+similarity of 0.8 is D = (a + b) / 9 at most, a and b being the sets' sizes.
+
+* Size bands are octaves of the set size. A document enters its own octave, and the next one if a partner there is
+  possible: any pair meets in the octave of its larger set.
+* For candidates, the sketch of a band is cut into more than D segments of 2**16 bits. At most D segments of two similar
+  documents differ, so that some are equal (pigeonhole): documents are joined on (band, segment number, bits of the
+  segment). A segment's bits are kept as the XOR of a 64-bit hash for each bit that is set.
+* Of S segments any D + 1 are enough, if both documents choose by one order: the order is by the number of documents
+  that share the segment, rarest first. Segments that nobody shares come first and lead to nothing, so that most
+  documents have no candidates at all. Segments of few bits say too little and are left out of longer sketches.
+* A segment is crowded if over ``crowd`` documents share it. A document is *safe* if its D + 1 segments hold no crowded
+  one; all pairs of a safe document are found through segments that aren't crowded.
+* Documents that aren't safe (some short ones, and those made of crowded passages) are joined once more by the finest
+  sketch, in which every shingle has a segment of its own. There a document that shares all but a fifth of its shingles
+  with a partner needs only its rarest fifth, and only the rarest ninth if the partner is no smaller.
+* Groups of near copies are joined up first: each document with a pivot of its bucket, as long as that joins many.
+* What is open then are buckets that hold documents of different components. Buckets that share documents form a
+  cluster. A cluster, or each of its buckets if that is less work, is divided into blocks of ``BLOCK`` documents, and
+  two blocks at a time are compared by the sketches of their bands, of 8 bits for each element of the octave's lower
+  end. Every pair is looked at, but only those whose Hamming distance allows a link leave the task.
 
 Candidates are verified on their whole sets. Equal sets are one node from the start, so that copies are never
 expanded into pairs. Nodes and shingles are 64-bit hashes; n distinct sets make a false match with probability of
@@ -27,6 +30,7 @@ about n**2 / 2**65.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,19 +39,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectrill.llm.batches import bounded
 from vectrill.llm.components import components, sized
 from vectrill.llm.textbuf import LOWER, Texts, cut, mix64, no_nulls, runs
 from vectrill.runtime import discard, mark, materialize
 
 SHINGLE = 5
-#: Words of a sketch per element of the lower end of its octave; fewest shingles of a word; smallest octave.
-DENSITY, LEAST, FIRST = 0.6, 2, 64
+#: Segments per element of the lower end of an octave, and the binary logarithm of a segment's bits.
+DENSITY, WIDE = 0.6, 16
+#: Fewest bits set in a segment that is used, in octaves below ``LONG`` and from there on; smallest octave.
+LEAST, LONG, FIRST = (1, 2), 64, 4
 FREE = 1 << 30
 _ONE = np.uint64(1)
 #: The lowest bits of a coarse key are its octave.
 _BAND = np.uint64(63)
-#: Bits of the sketch by which candidates are tested before their sets are fetched.
-BITS = 512
+#: Documents of a block that are compared with another block in one go.
+BLOCK = 1024
+#: 64-bit words of sketches that are compared at a time.
+_AT_ONCE = 1 << 20
 
 
 def shingle_sets(t: Texts, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -91,27 +100,33 @@ def _octaves(size: np.ndarray) -> np.ndarray:
 
 
 def sketch_words(owner: np.ndarray, h: np.ndarray, octave: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, key) of the words of the wanted texts' sketches for the given octaves, without the words of few shingles."""
+    """(text, key) of the segments of the wanted texts' sketches for the given octaves, without those of few bits."""
     take = wanted[owner]
     owner, h = owner[take], h[take]
     if not len(h):
         return owner, h
     length = np.maximum(1, (DENSITY * (1 << octave))).astype(np.uint64)[owner]
-    # hashes are in order within a text, and so are the word numbers
-    number = ((h >> np.uint64(32)) * length) >> np.uint64(32)
+    # hashes are in order within a text, and so are the bits that they toggle: (segment number, place in it)
+    bit = ((h >> np.uint64(32)) * length) >> np.uint64(32 - WIDE)
     begins = np.ones(len(h), bool)
+    begins[1:] = (owner[1:] != owner[:-1]) | (bit[1:] != bit[:-1])
+    at = np.flatnonzero(begins)
+    at = at[np.diff(np.append(at, len(h))) % 2 == 1]  # a bit toggled twice is not set
+    owner, bit = owner[at], bit[at]
+    number = bit >> np.uint64(WIDE)
+    begins = np.ones(len(bit), bool)
     begins[1:] = (owner[1:] != owner[:-1]) | (number[1:] != number[:-1])
     at = np.flatnonzero(begins)
-    count = np.diff(np.append(at, len(h)))
-    word = np.bitwise_xor.reduceat(mix64(h ^ np.uint64(0xA0761D6478BD642F)), at)
+    count = np.diff(np.append(at, len(bit)))
+    word = np.bitwise_xor.reduceat(mix64((bit & np.uint64((1 << WIDE) - 1)) ^ np.uint64(0xA0761D6478BD642F)), at)
     band = octave[owner[at]].astype(np.uint64)
     key = (mix64(word ^ mix64((band << np.uint64(40)) | number[at])) & ~_BAND) | band
-    some = count >= LEAST
+    some = count >= np.where(band < np.log2(LONG), *LEAST)
     return owner[at][some], key[some]
 
 
 def sketches(owner: np.ndarray, h: np.ndarray, n: int):
-    """Keys of all texts' words, and how many crowded words each text can bear in its own octave and in the next."""
+    """Keys of all texts' segments, and how many of them each text can spare in its own octave and in the next."""
     size = np.bincount(owner, minlength=n)
     octave = _octaves(size)
     low = np.int64(1) << octave
@@ -276,10 +291,21 @@ def buckets(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long")
 
 
+def bit_sketches(owner: np.ndarray, h: np.ndarray, n: int) -> list[bytes]:
+    """For each set a row of bits, 8 for each element of its octave's lower end, that its elements toggle."""
+    size = np.bincount(owner, minlength=n)
+    words = np.maximum(1, (1 << _octaves(size)) >> 3)
+    begin = np.concatenate([[0], np.cumsum(words)])
+    at = h & ((words.astype(np.uint64) << np.uint64(6)) - _ONE)[owner]
+    out = np.zeros(begin[-1], np.uint64)
+    np.bitwise_xor.at(out, begin[owner] + (at >> np.uint64(6)).astype(np.int64), _ONE << (at & np.uint64(63)))
+    return [out[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+
+
 def sets(docs: DataFrame, text: str, k: int, sent) -> DataFrame:
     """(node, n, bits, hashes) of the documents whose text passes the filter, once each.
 
-    ``hashes`` are 8-byte integers in order; ``bits`` is a parity sketch in which each shingle toggles one bit.
+    ``hashes`` are 8-byte integers in order, ``bits`` is the sketch of the set's band.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,12 +317,10 @@ def sets(docs: DataFrame, text: str, k: int, sent) -> DataFrame:
                 at = np.searchsorted(owner, np.arange(stop - start + 1))
                 some = np.flatnonzero(wanted)
                 if len(some):
-                    found = [h[at[i] : at[i + 1]] for i in some]
-                    bits = [(np.bincount((x & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).reshape(-1, 64).astype(np.uint64) for x in found]
-                    words = [(b << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64).tolist() for b in bits]
-                    yield pa.RecordBatch.from_arrays([pa.array(prints[some]), pa.array([len(x) for x in found], pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "n", "bits", "hashes"])
+                    bits = bit_sketches(owner, h, stop - start)
+                    yield pa.RecordBatch.from_arrays([pa.array(prints[some]), pa.array(at[some + 1] - at[some]), pa.array([bits[i] for i in some], pa.binary()), pa.array([h[at[i] : at[i + 1]].tobytes() for i in some], pa.binary())], names=["node", "n", "bits", "hashes"])
 
-    return docs.select(text, F.xxhash64(text).alias("_hash")).mapInArrow(run, "node long, n long, bits array<long>, hashes binary").dropDuplicates(["node"])
+    return docs.select(text, F.xxhash64(text).alias("_hash")).mapInArrow(run, "node long, n long, bits binary, hashes binary").dropDuplicates(["node"])
 
 
 def verify(pairs: DataFrame, of: DataFrame, similarity: int = 80) -> DataFrame:
@@ -327,64 +351,161 @@ def verify(pairs: DataFrame, of: DataFrame, similarity: int = 80) -> DataFrame:
 def rarest(rows: DataFrame, slack: DataFrame, crowd: int, limit: int) -> DataFrame:
     """(key, node, crowded) of the rows that each node needs, for keys that two nodes need.
 
-    ``rows`` are (key, node, band) of shared keys, ``slack`` is (node, band, slack): that many of a node's keys of
-    the band can be spared, and those are its most frequent ones.
+    ``rows`` are (key, node, band) of shared keys, ``slack`` is (node, band, slack, lead): that many of a node's keys of
+    the band can be spared, and those are its most frequent ones. For a partner that is no smaller, ``lead`` of them
+    can be spared, so that a key counts only if it is one of the others for some node.
     """
     counts = materialize(rows.groupBy("key").agg(F.count("*").alias("n")), "counts")
     found = rows.join(sized(counts, limit), "key").join(slack, ["node", "band"])
     mine = Window.partitionBy("node", "band")
     found = found.withColumn("_at", F.row_number().over(mine.orderBy("n", "key"))).withColumn("_all", F.count("*").over(mine))
-    found = materialize(found.where("_at <= _all - slack").select("key", "node", (F.col("n") > crowd).alias("crowded")), "rarest")
-    lonely = found.groupBy("key").agg(F.count("*").alias("n")).where("n = 1").select("key")
-    return found.join(sized(materialize(lonely, "lonely"), limit), "key", "left_anti")
+    found = found.where("_at <= _all - slack").select("key", "node", (F.col("n") > crowd).alias("crowded"), F.expr("_at <= _all - lead").alias("leads"))
+    found = materialize(found, "rarest")
+    idle = found.groupBy("key").agg(F.count("*").alias("n"), F.max("leads").alias("leads")).where("n = 1 or not leads").select("key")
+    return found.join(sized(materialize(idle, "idle"), limit), "key", "left_anti").drop("leads")
 
 
-def _labelled(rows: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """(key, node, label, least_label) of keys that still hold two components."""
+def open_rows(rows: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+    """(key, node, label) of keys that still hold two components."""
     found = rows.join(sized(labels, limit), F.col("node") == F.col("l_node"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    found = materialize(found, "labelled")
-    open_keys = found.groupBy("key").agg(F.min("label").alias("least_label"), F.max("label").alias("_b")).where("least_label <> _b").drop("_b")
-    return materialize(found.join(sized(materialize(open_keys, "open"), limit), "key"), "labelled")
+    still = found.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("key")
+    return materialize(found.join(sized(materialize(still, "open"), limit), "key"), "labelled")
 
 
-def _cross(rows: DataFrame, of: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components under a key whose sketches allow them to be similar."""
-    known = rows.join(of.select("node", "n", "bits"), "node")
-    left = known.select("key", F.col("node").alias("a"), F.col("label").alias("_l"), F.col("n").alias("_n"), F.col("bits").alias("_x"))
-    right = known.select("key", F.col("node").alias("b"), F.col("label").alias("_r"), F.col("n").alias("_m"), F.col("bits").alias("_y"))
-    apart = sum((F.bit_count(F.col("_x")[i].bitwiseXOR(F.col("_y")[i])) for i in range(BITS // 64)), F.lit(0))
-    near = (F.col("a") < F.col("b")) & (F.col("_l") != F.col("_r")) & (F.col("_n") * 5 >= F.col("_m") * 4) & (F.col("_m") * 5 >= F.col("_n") * 4)
-    return left.join(right, (left["key"] == right["key"]) & near & (apart * 9 <= F.col("_n") + F.col("_m"))).select("a", "b").distinct()
+def groups_of(rows: DataFrame, limit: int, block: int) -> DataFrame:
+    """(g, i, j, part, node, label): the nodes that have to be compared with each other, two blocks (i, j) at a time.
+
+    A group is a cluster of keys that share nodes, unless the pairs under each key are fewer: then it is one key.
+    """
+    per_key = materialize(rows.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")), "keys")
+    joined = rows.join(sized(per_key, limit), "key")
+    clusters = materialize(components(joined.select(F.col("node").alias("a"), "b"), limit).select(F.col("node").alias("c_node"), F.col("label").alias("cluster")), "clusters")
+    placed = materialize(joined.join(sized(clusters, limit), F.col("node") == F.col("c_node")).select("key", "node", "label", "n", "cluster"), "clusters")
+    work = placed.groupBy("cluster").agg(F.sum("n").alias("apart")).join(clusters.groupBy("cluster").agg(F.count("*").alias("m")), "cluster")
+    work = materialize(work.withColumn("whole", F.col("m").cast("double") * F.col("m") <= F.col("apart")), "work")
+    placed = placed.join(sized(work, limit), "cluster")
+    whole = placed.where("whole").select(F.col("cluster").alias("g"), "node", "label", F.col("m").alias("size")).distinct()
+    single = placed.where("not whole").select(F.xxhash64("key", "cluster").alias("g"), "node", "label", F.col("n").alias("size"))
+    found = whole.union(single).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    found = found.withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return found.select("g", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "label")
+
+
+def _fold(bits: np.ndarray) -> np.ndarray:
+    """Sketches of half the length: positions modulo the half."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] ^ bits[:, half:] if half else bits
+
+
+def near_pairs(node: np.ndarray, label: np.ndarray, n: np.ndarray, part: np.ndarray, bits: list[bytes], best: int | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(a, b) of nodes with different labels, whose sizes and sketches allow them to be similar, and whether that is all.
+
+    If ``part`` has two values, pairs are of one of each. With ``best``, at most so many of the nearest for each node.
+    """
+    across, octave = part.min() != part.max(), _octaves(n)
+    sketch = {o: np.frombuffer(b"".join(bits[i] for i in np.flatnonzero(octave == o)), np.uint64).reshape(int((octave == o).sum()), -1) for o in np.unique(octave).tolist()}
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for o, mine in sketch.items():
+        rows = np.flatnonzero(octave == o)
+        for up in (o, o + 1):
+            if up not in sketch:
+                continue
+            columns, theirs = np.flatnonzero(octave == up), sketch[up]
+            if up != o and theirs.shape[1] > mine.shape[1]:
+                theirs = _fold(theirs)
+            step = max(1, _AT_ONCE // theirs.size)
+            for x in range(0, len(rows), step):
+                r = rows[x : x + step]
+                fits = (label[r][:, None] != label[columns][None]) & (5 * n[r][:, None] >= 4 * n[columns][None]) & (5 * n[columns][None] >= 4 * n[r][:, None])
+                if up == o:
+                    fits &= node[r][:, None] < node[columns][None]
+                if across:
+                    fits &= part[r][:, None] != part[columns][None]
+                if not fits.any():
+                    continue
+                apart = np.bitwise_count(mine[x : x + step][:, None] ^ theirs[None]).sum(axis=2, dtype=np.int64)
+                i, j = np.nonzero(fits & (9 * apart <= n[r][:, None] + n[columns][None]))
+                found.append((r[i], columns[j], apart[i, j]))
+    a, b, apart = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
+    whole = True
+    if best is not None and len(a):
+        keep = np.zeros(len(a), bool)
+        for side in (a, b):
+            order = np.lexsort((apart, side))
+            new = np.flatnonzero(np.diff(side[order], prepend=-1))
+            rank = np.arange(len(a)) - np.repeat(new, np.diff(np.append(new, len(a))))
+            keep[order[rank < best]] = True
+        whole = bool(keep.all())
+        a, b = a[keep], b[keep]
+    low, high = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+    return low, high, whole
+
+
+def near(groups: DataFrame, of: DataFrame, best: int | None = None) -> DataFrame:
+    """Pairs (a, b) of :func:`groups_of` that may be similar, and a row of NULLs if ``best`` has left out some."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            node, label, n, part = (t.column(c).to_numpy() for c in ("node", "label", "n", "part"))
+            a, b, whole = near_pairs(node, label, n, part, t.column("bits").to_pylist(), best)
+            if len(a):
+                rest = pa.array([None] * (not whole), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x), rest]) for x in (a, b)], names=["a", "b"])
 
-def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, similarity: int = 80, crowd: int = 32, limit: int = 200_000) -> DataFrame:
+        for batch in batches:
+            g, i, j = (batch.column(c).to_numpy() for c in ("g", "i", "j"))
+            new = np.flatnonzero((g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            for x, y in zip([0, *new], [*new, len(g)], strict=True):
+                if x == y:
+                    continue
+                if held and (g[x], i[x], j[x]) != now:
+                    yield from flush()
+                    held = []
+                now = (g[x], i[x], j[x])
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield from flush()
+
+    known = groups.join(of.select("node", "n", "bits"), "node").select("g", "i", "j", "part", "node", "label", "n", "bits")
+    return known.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
+def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, similarity: int = 80, crowd: int = 32, limit: int = 200_000, block: int = BLOCK) -> DataFrame:
     """One row per document: ``key``, ``n_shingles``, ``component_id`` (the smallest key in reach by links).
 
     NULL, empty and wordless texts have no shingles and are linked with nothing; they are their own component. A NULL
     key counts as the largest: its component is the smallest other key in reach, or NULL. Repeated rows and equal
-    texts are linked, as are equal sets; an empty table gives an empty result. ``similarity`` is 80 or more per cent.
+    texts are linked, as are equal sets; an empty table gives an empty result. Other columns aren't read, so that their
+    names don't matter. ``similarity`` is 80 or more per cent.
     """
     if similarity < 80:
         raise ValueError("sketch lengths are laid out for a similarity of 80 per cent or more")
-    context, start = docs.sparkSession.sparkContext, mark()
-    documents = materialize(nodes(docs, key, text, k), "nodes")
+    context, start = bounded(docs.sparkSession).sparkContext, mark()
+    own_key, own_text = "_own_key", "_own_text"
+    docs = docs.select(F.col(key).alias(own_key), F.col(text).alias(own_text))
+    documents = materialize(nodes(docs, own_key, own_text, k), "nodes")
     each = documents.where("node <> 0").groupBy("node").agg(F.min("slack").alias("slack"), F.min("slack_up").alias("slack_up"), F.first("n_shingles").alias("n_shingles"), F.min("text_hash").alias("text_hash"))
     each = materialize(each, "each")
     own = F.length(F.bin("n_shingles")) - 1
-    bands = each.select("node", F.explode(F.array(F.struct(own.alias("band"), "slack"), F.struct((own + 1).alias("band"), F.col("slack_up").alias("slack")))).alias("s")).select("node", "s.band", "s.slack")
-    coarse = materialize(buckets(_emit(docs, text, k, _coarse)).select("key", "node", F.col("key").bitwiseAND(63).cast("int").alias("band")), "coarse")
+    bands = each.select("node", F.explode(F.array(F.struct(own.alias("band"), "slack"), F.struct((own + 1).alias("band"), F.col("slack_up").alias("slack")))).alias("s")).select("node", "s.band", "s.slack", F.col("s.slack").alias("lead"))
+    coarse = materialize(buckets(_emit(docs, own_text, k, _coarse)).select("key", "node", F.col("key").bitwiseAND(63).cast("int").alias("band")), "coarse")
     coarse = materialize(rarest(coarse, bands, crowd, limit), "coarse")
 
     crowds = coarse.where("crowded").select("node").distinct()
     unsafe = each.where("least(slack, slack_up) < 0").select("node").union(crowds).distinct().join(each.select("node", "n_shingles", "text_hash"), "node")
     unsafe = materialize(unsafe, "unsafe")
-    spare = unsafe.select("node", F.lit(0).alias("band"), (F.col("n_shingles") - F.floor(F.col("n_shingles") / 5) - 1).alias("slack"))
-    fine = buckets(_emit(docs, text, k, _fine, context.broadcast(Filter.of(unsafe.select("text_hash")))))
+    n = F.col("n_shingles")
+    spare = unsafe.select("node", F.lit(0).alias("band"), (n - F.floor(n / 5) - 1).alias("slack"), (n - F.floor(n / 9) - 1).alias("lead"))
+    fine = buckets(_emit(docs, own_text, k, _fine, context.broadcast(Filter.of(unsafe.select("text_hash")))))
     fine = materialize(fine.select("key", "node", F.lit(0).alias("band")), "fine")
     fine = materialize(rarest(fine, spare, crowd, limit), "fine")
 
-    rows = materialize(coarse.where("not crowded").union(fine), "rows")
-    of = materialize(sets(docs, text, k, context.broadcast(Filter.of(materialize(rows.select("node").distinct().join(each, "node").select("text_hash"), "candidates")))), "sets")
+    rows = materialize(coarse.where("not crowded").union(fine).select("key", "node"), "rows")
+    of = materialize(sets(docs, own_text, k, context.broadcast(Filter.of(materialize(rows.select("node").distinct().join(each, "node").select("text_hash"), "candidates")))), "sets")
 
     # first every node with the smallest that it meets: one pair a node joins up most groups
     pivots = materialize(rows.groupBy("key").agg(F.min("node").alias("a")), "pivots")
@@ -397,25 +518,39 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         discard(inner, found)
         return found
 
-    # crowds of near copies: again with the smallest node of another component
-    packed = rows.where("crowded").select("key", "node")
-    for _ in range(2):
-        packed = _labelled(packed.select("key", "node"), labels(), limit)
-        if packed.isEmpty():
+    # then with one of another component, chosen by a hash that changes, as long as a tenth of the pairs are links
+    final = labels()
+    left = open_rows(rows, final, limit)
+    for turn in itertools.count():
+        if left.isEmpty():
+            break
+        chance = F.xxhash64("node", F.lit(turn))
+        pivots = left.groupBy("key").agg(F.min_by(F.struct(chance.alias("h"), F.col("node").alias("a"), F.col("label").alias("a_label")), chance).alias("p")).select("key", "p.*")
+        tried = left.join(sized(materialize(pivots, "pivots"), limit), "key").where("label <> a_label")
+        tried = tried.groupBy(F.col("node").alias("b")).agg(F.min_by("a", "h").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        tried = materialize(tried, "tried")
+        verified = materialize(verify(tried, of, similarity), "links")
+        links = links.union(verified)
+        final = labels()
+        left = open_rows(left.select("key", "node"), final, limit)
+        if verified.count() * 10 < tried.count():
             break
-        pivots = packed.where("label = least_label").groupBy("key").agg(F.min("node").alias("a"))
-        tried = packed.where("label <> least_label").join(sized(materialize(pivots, "pivots"), limit), "key")
-        tried = tried.groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a"))
-        links = materialize(links.union(verify(tried, of, similarity)), "links")
 
-    # then all pairs of components that still are different
-    left = _labelled(rows.where("not crowded").select("key", "node").union(packed.select("key", "node")), labels(), limit)
-    links = materialize(links.union(verify(_cross(left, of), of, similarity)), "links")
+    # then all pairs of components that still are different, the nearest of each document ahead of all others
+    for best in (8, None):
+        if left.isEmpty():
+            break
+        found = materialize(near(groups_of(left, limit, block), of, best), "near")
+        verified = materialize(verify(found.where("a is not null"), of, similarity), "links")
+        links = links.union(verified)
+        final = labels()
+        if found.where("a is null").isEmpty():
+            break
+        left = open_rows(left.select("key", "node"), final, limit)
 
-    final = labels()
     placed = documents.join(sized(final, limit), (documents["node"] == final["l_node"]) & (documents["node"] != 0), "left")
-    placed = placed.select(key, "n_shingles", F.coalesce("label", "node").alias("_component"))
-    groups = placed.where("_component <> 0").groupBy("_component").agg(F.min(key).alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    placed = placed.select(own_key, "n_shingles", F.coalesce("label", "node").alias("_component"))
+    groups = placed.where("_component <> 0").groupBy("_component").agg(F.min(own_key).alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     groups = materialize(groups, "groups")
     discard(start, documents, final, groups)
-    return placed.join(sized(groups, limit), "_component", "left").select(key, "n_shingles", F.coalesce("_least", F.col(key)).alias("component_id"))
+    return placed.join(sized(groups, limit), "_component", "left").select(F.col(own_key).alias(key), "n_shingles", F.coalesce("_least", F.col(own_key)).alias("component_id"))
