@@ -17,7 +17,7 @@ from vectrill.operators import search as S
 from vectrill.operators.clustering import KMeans
 from vectrill.operators.ivf import Inverted
 from vectrill.plans.search_queries import asked, base
-from vectrill.runtime import materialize
+from vectrill.runtime import materialize, shared_dir
 from vectrill.streaming.window import SlidingIndex
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -56,7 +56,7 @@ def main() -> None:
     seconds["ivf32_big_batch_nprobe4"], _ = timed(lambda: index.search_big(every, 10, 4))
 
     def slide() -> DataFrame:
-        window = SlidingIndex(spark, f"{SF_DIR and '/tmp'}/vectrill-bench-{os.getpid()}", model.centroids)
+        window = SlidingIndex(spark, f"{shared_dir(spark)}/vectrill-bench-{os.getpid()}", model.centroids)
         for s in range(10):
             window.step(b.where(F.floor(F.col("id") / 100) == s).select("id", "vec"), remove_oldest=s >= 5)
         return window.rows()

@@ -99,27 +99,58 @@ class Not(Selector):
         return super().apply(df, id)
 
 
+def flagged(df: DataFrame, selector: Selector, id: str, name: str) -> DataFrame:
+    """``df`` with a column that tells whether the selector takes a row; batches of ids become an outer join."""
+    if isinstance(selector, IdBatch):
+        wanted = selector.ids.select(F.col("id").alias(f"{name}_id")).where(F.col(f"{name}_id").isNotNull()).distinct()
+        joined = df.join(wanted, F.col(id) == F.col(f"{name}_id"), "left")
+        return joined.withColumn(name, F.col(f"{name}_id").isNotNull()).drop(f"{name}_id")
+    if isinstance(selector, Not):
+        return flagged(df, selector.of, id, name).withColumn(name, ~F.col(name))
+    if isinstance(selector, Translated):
+        return flagged(df, selector.of, selector.column, name)
+    if isinstance(selector, _Both):
+        sides = flagged(flagged(df, selector.left, id, f"{name}l"), selector.right, id, f"{name}r")
+        return sides.withColumn(name, selector.joined(F.col(f"{name}l"), F.col(f"{name}r"))).drop(f"{name}l", f"{name}r")
+    return df.withColumn(name, F.coalesce(selector.predicate(F.col(id)), F.lit(False)))
+
+
 class _Both(Selector):
     def __init__(self, left: Selector, right: Selector):
         self.left, self.right = left, right
 
+    def joined(self, left: Column, right: Column) -> Column:
+        raise NotImplementedError
 
-class And(_Both):
     def predicate(self, id: Column) -> Column:
-        return self.left.predicate(id) & self.right.predicate(id)
+        return self.joined(self.left.predicate(id), self.right.predicate(id))
+
+    def apply(self, df: DataFrame, id: str = "id") -> DataFrame:
+        try:
+            return super().apply(df, id)
+        except NotImplementedError:  # a batch within
+            name = "_selected"
+            while any(c.startswith(name) for c in df.columns):
+                name = "_" + name
+            return flagged(df, self, id, name).where(name).drop(name)
+
+
+class And(_Both):
+    def joined(self, left: Column, right: Column) -> Column:
+        return left & right
 
     def apply(self, df: DataFrame, id: str = "id") -> DataFrame:
         return self.right.apply(self.left.apply(df, id), id)
 
 
 class Or(_Both):
-    def predicate(self, id: Column) -> Column:
-        return self.left.predicate(id) | self.right.predicate(id)
+    def joined(self, left: Column, right: Column) -> Column:
+        return left | right
 
 
 class Xor(_Both):
-    def predicate(self, id: Column) -> Column:
-        return self.left.predicate(id) != self.right.predicate(id)
+    def joined(self, left: Column, right: Column) -> Column:
+        return left != right
 
 
 @dataclass

@@ -358,9 +358,20 @@ class Index:
         return S.knn(q, rows, k, self.which, selector=selector)
 
     def range_search(self, queries: DataFrame, radius: float, nprobe: int = 1, selector=None) -> DataFrame:
+        if self.plan.row_scale:
+            raise UnsupportedPlan("a row-wise scaled table is a codec; decode it to search")
+        if self.plan.coarse is not None and self.plan.coarse.kind in ("hnsw", "nsg"):
+            raise UnsupportedPlan("range search over a graph")
+        rows = self.rows if selector is None else selector.apply(self.rows)
         if self.plan.binary:
-            return B.range_join(queries, self.rows, int(radius))
+            return B.range_join(queries, rows, int(radius))
+        found = self._range(queries, rows, radius, nprobe, selector)
+        return found if self.plan.refine is None else I.refine_range(found, queries, self.originals, self.which)
+
+    def _range(self, queries: DataFrame, rows: DataFrame, radius: float, nprobe: int, selector) -> DataFrame:
         q = self._queries(queries)
+        if self.plan.code.kind == "lsh":
+            return B.range_join(self.codec.encode(q, "qvec", "code").drop("qvec").withColumnRenamed("code", "qvec"), rows, int(radius))
         if isinstance(self.codec, _Spectral):
             return self.codec.scan(self.inverted, q, nprobe, selector).where(F.col("dis") < radius).select("qid", "id", "dis")
         if self.inverted is not None:
@@ -368,9 +379,23 @@ class Index:
         return S.range_join(q, self.rows, radius, self.which, selector=selector)
 
 
+def _refuse(plan: Plan) -> None:
+    """Raise for what a description asks for and no operator here does, instead of building something else."""
+    code, coarse = plan.code, plan.coarse
+    asked = {
+        "norms stored apart": code["norm"] is not None, "storage without repeated vectors": bool(code["dedup"]), "a two-layer code under a graph": code.kind == "two_layer",
+        "row bounds of half precision": plan.row_scale == "MinMaxFP16", "another quantizer for lists": coarse is not None and (coarse["quantizer"] is not None or coarse.kind == "ivf" and coarse["graph"] is not None),
+        "refinement by another plan than a code": isinstance(plan.refine, Plan) and (plan.refine.coarse is not None or bool(plan.refine.transforms) or plan.refine.binary or plan.refine.code.kind in ("lsh", "rabitq", "spectral", "two_layer")),
+    }
+    for what, there in asked.items():
+        if there:
+            raise UnsupportedPlan(what)
+
+
 def build(text: str | Plan, base: DataFrame, which: str = "l2", train: DataFrame | None = None, rounds: int = 10) -> Index:
     """Train on ``train`` (or the rows) and index ``base`` (id, vec); binary plans take packed words as ``vec``."""
     plan = parse(text) if isinstance(text, str) else text
+    _refuse(plan)
     if plan.code.kind == "spectral" and which != "l2":
         raise UnsupportedPlan("spectral hashes are for l2 only")
     if plan.coarse is not None and plan.coarse.kind in ("hnsw", "nsg") and which not in G.METRICS:
@@ -391,6 +416,9 @@ def build(text: str | Plan, base: DataFrame, which: str = "l2", train: DataFrame
     chain = P.Chain(steps).fit(train)
     rows, sample = chain.apply(base), chain.apply(train)
     index = Index(plan, which, chain, rows, base)
+    if isinstance(plan.refine, Plan) and (finer := _codec(plan.refine.code, d)) is not None:
+        finer.fit(train)
+        index.originals = finer.decode(finer.encode(base)).drop("code")
     similarity = D.metric(which).similarity
     codec = index.codec = _codec(plan.code, at)
     if plan.row_scale:

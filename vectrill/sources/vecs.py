@@ -95,6 +95,7 @@ class _Reader(DataSourceReader):
 @dataclass
 class Written(WriterCommitMessage):
     path: str
+    attempt: str
 
 
 class _Writer(DataSourceArrowWriter):
@@ -110,7 +111,8 @@ class _Writer(DataSourceArrowWriter):
         dtype = np.dtype(KINDS[kind][0])
         os.makedirs(target, exist_ok=True)
         name = os.path.join(target, f"part-{TaskContext.get().partitionId():05d}.{kind}")
-        with open(name + ".tmp", "wb") as f:
+        attempt = f"{name}.{TaskContext.get().taskAttemptId()}.tmp"  # tries of one task don't share a file
+        with open(attempt, "wb") as f:
             for batch in batches:
                 column = batch.column(self.column)
                 if not len(column):
@@ -118,17 +120,17 @@ class _Writer(DataSourceArrowWriter):
                 x = column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(column), -1)
                 head = np.full((len(x), 1), x.shape[1], "<i4").view(np.uint8).reshape(len(x), 4)
                 f.write(np.concatenate([head, np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)], axis=1).tobytes())
-        return Written(name)
+        return Written(name, attempt)
 
     def commit(self, messages: list) -> None:
         for m in messages:
             if m is not None:
-                os.replace(m.path + ".tmp", m.path)
+                os.replace(m.attempt, m.path)
 
     def abort(self, messages: list) -> None:
         for m in messages:
-            if m is not None and os.path.exists(m.path + ".tmp"):
-                os.remove(m.path + ".tmp")
+            if m is not None and os.path.exists(m.attempt):
+                os.remove(m.attempt)
 
 
 class VecsSource(DataSource):

@@ -28,15 +28,29 @@ def replay_count_window(rows: DataFrame, window: int, batch: int) -> DataFrame:
 
 
 class SlidingIndex:
-    """A FIFO of slices over a Parquet folder partitioned by slice."""
+    """A FIFO of slices over a Parquet folder partitioned by slice. The numbers of the live slices are kept beside them in
+    ``_live``, so that a window goes on after a restart."""
 
     def __init__(self, spark: SparkSession, path: str, centroids: np.ndarray | None = None):
         self.spark, self.path, self.centroids = spark, path, centroids
         self.slices: list[int] = []
         self.next = 0
-
-    def step(self, rows: DataFrame | None = None, remove_oldest: bool = False) -> None:
-        """Add a slice, remove the oldest, or both."""
+        jvm = spark.sparkContext._jvm
+        self._live = jvm.org.apache.hadoop.fs.Path(f"{path}/_live")
+        self._fs = self._live.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if self._fs.exists(self._live):
+            stream = self._fs.open(self._live)
+            numbers = [int(x) for x in jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()]
+            stream.close()
+            self.next, self.slices = numbers[0], numbers[1:]
+
+    def _keep(self) -> None:
+        stream = self._fs.create(self._live, True)
+        stream.write(" ".join(map(str, [self.next, *self.slices])).encode())
+        stream.close()
+
+    def step(self, rows: DataFrame | None = None, remove_oldest: bool = False, number: int | None = None) -> None:
+        """Add a slice, remove the oldest, or both. A slice of a ``number`` that is there already is replaced."""
         if rows is None and not remove_oldest:
             raise ValueError("a step adds a slice, removes one, or both")
         if remove_oldest and not self.slices:
@@ -44,11 +58,14 @@ class SlidingIndex:
         if rows is not None:
             if self.centroids is not None:
                 rows = assign_to(rows, self.centroids).drop("dis")
-            rows.write.mode("overwrite").parquet(f"{self.path}/slice_id={self.next}")
-            self.slices.append(self.next)
-            self.next += 1
+            number = self.next if number is None else number
+            rows.write.mode("overwrite").parquet(f"{self.path}/slice_id={number}")
+            if number not in self.slices:
+                self.slices.append(number)
+            self.next = max(self.next, number + 1)
         if remove_oldest:
             self.slices.pop(0)
+        self._keep()
 
     def rows(self) -> DataFrame | None:
         if not self.slices:
@@ -65,11 +82,15 @@ class SlidingIndex:
                 target.getFileSystem(conf).delete(target, True)
 
     def consume(self, stream: DataFrame, window: int, checkpoint: str, **options):
-        """Every micro-batch of a stream becomes a slice; the oldest goes beyond ``window`` slices."""
+        """Every micro-batch of a stream becomes the slice of its number; the oldest goes beyond ``window`` slices.
+
+        A window that a stream feeds takes no other steps. A batch that is run again after a restart replaces its slice, or is passed over if that has left the window.
+        """
 
         def each(batch: DataFrame, number: int) -> None:
-            if not batch.isEmpty():
-                self.step(batch, remove_oldest=len(self.slices) >= window)
+            again = number in self.slices
+            if not batch.isEmpty() and (again or number >= self.next):
+                self.step(batch, not again and len(self.slices) >= window, number)
 
         return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).options(**options).start()
 
