@@ -121,53 +121,88 @@ class TokenTree:
         """Put ``new`` in place of the characters from ``begin`` to ``end``."""
         if not 0 <= begin <= end <= len(self.text):
             raise ValueError(f"no such range: {begin} to {end} of {len(self.text)}")
-        text = self.text[:begin] + new + self.text[end:]
-        shift = len(new) - (end - begin)
-        first, leaf_begin = self._leaf(max(0, begin - LOOKAHEAD)) if self.text else (0, 0)
+        text = self.text
+        self._splice(begin, end, new, lambda n: (text[end : end + n], end + n >= len(text)))
+        self.text = text[:begin] + new + text[end:]
+
+    def replace_all(self, edits: list[Edit]) -> None:
+        """Edits in positions of the text as it is, in any order, not overlapping. The text is put together once."""
+        right: list[str] = []  # what stands behind ``begin`` by now, the nearest last
+        text = self.text
+        begin = len(text)
+
+        def behind(n: int) -> tuple[str, bool]:
+            found, size = [text[end : min(begin, end + n)]], min(begin - end, n)
+            for part in reversed(right):
+                if size >= n:
+                    return "".join(found), False
+                found.append(part[: n - size])
+                size += len(found[-1])
+            return "".join(found), size < n
+
+        for at, end, new in sorted(edits, reverse=True):
+            if not 0 <= at <= end <= begin:
+                raise ValueError(f"no such range: {at} to {end}, ahead of {begin}")
+            self._splice(at, end, new, behind)
+            right += [part for part in (text[end:begin], new) if part]
+            begin = at
+        self.text = text[:begin] + "".join(reversed(right))
+
+    def _splice(self, begin: int, end: int, new: str, behind: Callable[[int], tuple[str, bool]]) -> None:
+        """Update the leaves. ``behind(n)`` gives the n characters behind ``end``, and whether that is all there are."""
+        first, leaf_begin = self._leaf(max(0, begin - LOOKAHEAD)) if self.chars[1] else (0, 0)
         # pre-tokens of the leaf that end well ahead of the edit stay
         chars, counts = self._contents(first)
-        kept = 0
-        start = leaf_begin
+        kept, start = 0, leaf_begin
         while kept < len(chars) and start + chars[kept] + LOOKAHEAD <= begin:
             start += chars[kept]
             kept += 1
-        # old boundaries from there on, as far as needed
-        leaf, ahead, old = first, list(chars[kept:]), start
-        old_counts = list(counts[kept:])
-        new_chars, new_counts = list(chars[:kept]), list(counts[:kept])
-        position = start
-        for m in _CUT.finditer(text, start):
-            while old + shift < position or old < end:
+        n = 64
+        while (found := self._until_boundary(self.text[start:begin] + new, start, end, len(new) - (end - begin), first, kept, *behind(n))) is None:
+            n *= 4
+        passed, pieces, ahead, old_counts = found
+        for changed in passed:
+            self._set(changed, 0, 0)
+            self.parts.pop(changed, None)
+        self.encoded += len(pieces)
+        new_chars = [*chars[:kept], *map(len, pieces), *ahead]
+        new_counts = [*counts[:kept], *(self.tokens[p] for p in pieces), *old_counts]
+        self.parts[first] = (new_chars, new_counts)
+        self.n = max(self.n, 1)
+        self._set(first, sum(new_chars), sum(new_counts))
+
+    def _until_boundary(self, head: str, start: int, end: int, shift: int, first: int, kept: int, follow: str, whole: bool):
+        """Cut ``head`` and ``follow`` until a boundary meets an old one behind the edit: the leaves passed, the new
+        pre-tokens, and what is left of the last leaf. None if ``follow`` ends too soon to tell."""
+        text, must = head + follow, len(head)
+        total, old, position = int(self.chars[1]), start, 0
+        passed: list[int] = []
+        ahead, old_counts = (list(x[kept:]) for x in self._contents(first))
+        pieces: list[str] = []
+        for m in _CUT.finditer(text):
+            while old + shift < start + position or old < end:
                 if not ahead:
-                    if leaf + 1 >= self.n:
+                    if old >= total:
                         break
-                    leaf += 1
-                    ahead, old_counts = (list(x) for x in self._contents(leaf))
+                    passed.append(self._leaf(old)[0])  # the next one that isn't empty
+                    ahead, old_counts = (list(x) for x in self._contents(passed[-1]))
                     continue
                 old += ahead.pop(0)
                 old_counts.pop(0)
-            if old >= end and old + shift == position and position >= begin + len(new):
-                break
-            piece = m[0]
-            new_chars.append(len(piece))
-            new_counts.append(self.tokens[piece])
-            self.encoded += 1
+            if old >= end and old + shift == start + position and position >= must:
+                return passed, pieces, ahead, old_counts
+            if not whole and m.end() + LOOKAHEAD > len(text):
+                return None
+            pieces.append(m[0])
             position = m.end()
-        else:
-            # the text ends: whatever is left of the old leaves was replaced
-            while leaf + 1 < self.n:
-                leaf += 1
-            ahead, old_counts = [], []
-        for changed in range(first + 1, leaf + 1):
-            if self.chars[changed + self.size]:
-                self._set(changed, 0, 0)
-            self.parts.pop(changed, None)
-        new_chars += ahead
-        new_counts += old_counts
-        self.parts[first] = (new_chars, new_counts)
-        self.n = max(self.n, 1)
-        self._set(first, sum(new_chars), sum(new_counts))
-        self.text = text
+        if not whole:
+            return None
+        # the text ends: whatever is left of the old leaves was replaced
+        old += sum(ahead)
+        while old < total:
+            passed.append(self._leaf(old)[0])
+            old += int(self.chars[passed[-1] + self.size])
+        return passed, pieces, [], []
 
     def leaves(self) -> tuple[list[int], list[int]]:
         """Characters and tokens of each pre-token, to keep and to go on from."""
@@ -181,8 +216,7 @@ class TokenTree:
 
 def apply_edits(tree: TokenTree, edits: list[Edit]) -> None:
     """Edits in positions of the text as it was, in any order, not overlapping."""
-    for begin, end, new in sorted(edits, reverse=True):
-        tree.replace(begin, end, new)
+    tree.replace_all(edits)
 
 
 _MAIL = regex.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -211,7 +245,8 @@ def _read(path: str) -> bytes:
 def count_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: Callable[[str], list[Edit]] = cleaning_edits, tokenizer: str = TOKENIZER) -> DataFrame:
     """One row per document: ``key``, n_tokens, n_pretokens, n_edits, n_tokens_edited, n_reencoded (pre-tokens).
 
-    NULL and empty texts have no tokens. Rows are independent. The vocabulary file (1 MB) is read on the driver.
+    NULL and empty texts have no tokens. Rows are independent: repeated rows get equal counts, NULL keys are carried like
+    others, ties don't arise, an empty table gives an empty result, and other columns aren't read. The vocabulary file (1 MB) is read on the driver.
     """
     sent = bounded(docs.sparkSession).sparkContext.broadcast(_read(tokenizer))
     names = ["n_tokens", "n_pretokens", "n_edits", "n_tokens_edited", "n_reencoded"]
