@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if not current.isDefined():
-        if not context.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="vectrill-"))
         current = context._jsc.sc().getCheckpointDir()
