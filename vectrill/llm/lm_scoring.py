@@ -7,9 +7,10 @@ document gets the mean over its tokens of (loss under the target model - loss un
 the more it is like the target.
 
 Counts are taken over all documents and nothing that grows with the vocabulary is gathered or broadcast. Documents are
-cut into chunks of about ``CHUNK`` tokens. A chunk sends each of its distinct words, contexts and pairs once, with its
-own counts, to the bucket that the hash falls into; buckets add them up and answer every chunk in the order it asked;
-the chunk, whose words travel along as numbers, is scored by the answers. A frequent pair is one entry for each chunk.
+cut into chunks of about ``CHUNK`` tokens. A chunk sends each of its distinct words and pairs once, with its own counts,
+to the bucket that the hash falls into; buckets add them up and answer every chunk in the order it asked; the chunk,
+whose words are dealt by its number in the same shuffle, is scored by the answers. A frequent pair is one entry for
+each chunk. A word is a context as often as it occurs other than as the last of its text.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vectrill.llm.batches import bounded
 from vectrill.llm.textbuf import LOWER, cut, mix64, no_nulls, runs
@@ -35,8 +37,10 @@ CHUNK = 2_000_000
 BUCKET = 3_000_000
 
 _UNKNOWN, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-_MESSAGE = "chunk long, bucket int, a binary, b binary, c binary, d binary"
-_NAMES = ["chunk", "bucket", "a", "b", "c", "d"]
+#: ``at`` is where a row is dealt to: a chunk, or a bucket as -1 - its number.
+_MESSAGE = "at long, chunk long, bucket int, a binary, b binary, c binary, d binary, e binary"
+_NAMES = ["at", "chunk", "bucket", "a", "b", "c", "d", "e"]
+_COUNTS = ["b", "c", "d", "e"]
 
 
 def word_counts(docs: DataFrame, text: str = "text", target: str = "_target") -> DataFrame:
@@ -111,10 +115,10 @@ def _unpack(body: bytes, kind) -> np.ndarray:
 
 @dataclass
 class Entries:
-    """What a chunk asks for: its words, contexts and pairs as sorted hashes.
+    """What a chunk asks for: its words, the start of texts and its pairs as sorted hashes.
 
     ``words`` are the chunk's distinct word hashes in any order, ``token`` the number of each token's word, ``n_words`` the tokens of
-    each document; a context is a word before, or the start of a text.
+    each document; the first word of a text has the start before it.
     """
 
     words: np.ndarray
@@ -123,42 +127,49 @@ class Entries:
 
     def __post_init__(self) -> None:
         v = len(self.words)
-        self.before = np.empty(len(self.token), np.int64)
-        self.before[1:] = self.token[:-1]
+        before = np.empty(len(self.token), np.int64)
+        before[1:] = self.token[:-1]
         ends = np.cumsum(self.n_words)
-        self.before[(ends - self.n_words)[self.n_words > 0]] = v
-        self.pairs, self.pair = np.unique(self.before * v + self.token, return_inverse=True)
+        some = self.n_words > 0
+        self.first, self.last = (ends - self.n_words)[some], ends[some] - 1
+        before[self.first] = v
+        self.pairs, self.pair = np.unique(before * v + self.token, return_inverse=True)
         self.pair_before, self.pair_word = np.divmod(self.pairs, max(v, 1))
         contexts = mix64(np.append(self.words, _START) + np.uint64(1))
-        hashes = np.concatenate([self.words, contexts, mix64(contexts[self.pair_before] * np.uint64(0xD1342543DE82EF95) + self.words[self.pair_word])])
+        hashes = np.concatenate([self.words, [_START], mix64(contexts[self.pair_before] * np.uint64(0xD1342543DE82EF95) + self.words[self.pair_word])])
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
 
-    def counts(self, of: np.ndarray | None = None) -> np.ndarray:
-        """Occurrences of the entries in the tokens for which ``of`` is true, in the order of ``hashes``."""
-        which = slice(None) if of is None else of
-        parts = ((self.token, len(self.words)), (self.before, len(self.words) + 1), (self.pair, len(self.pairs)))
-        return np.concatenate([np.bincount(x[which], minlength=n) for x, n in parts])[self.order]
+    def counts(self, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences of the entries in the tokens for which ``of`` is true, and those that end a text, in the order of ``hashes``."""
+        of = np.ones(len(self.token), bool) if of is None else of
+        v, last = len(self.words), self.last[of[self.last]]
+        n = np.concatenate([np.bincount(self.token[of], minlength=v), [of[self.first].sum()], np.bincount(self.pair[of], minlength=len(self.pairs))])
+        ends = np.bincount(self.token[last], minlength=len(n))
+        return n[self.order], ends[self.order]
 
-    def losses(self, counts: np.ndarray, size: int, total: int, strength: float = 8.0) -> np.ndarray:
+    def losses(self, counts: np.ndarray, ends: np.ndarray, size: int, total: int, strength: float = 8.0) -> np.ndarray:
         """-log2 P(word | previous) of every token: a bigram model interpolated with the unigram model, and that with
         the uniform one, each by ``strength`` pseudo-counts. Without counts it is uniform."""
-        n = np.empty(len(counts))
+        n, before = np.empty(len(counts)), np.empty(len(counts))
         n[self.order] = counts
-        word, before, pair = np.split(n, [len(self.words), 2 * len(self.words) + 1])
-        single = (word + strength / size) / (total + strength)
-        return -np.log2((pair + strength * single[self.pair_word]) / (before[self.pair_before] + strength))[self.pair]
+        before[self.order] = ends
+        before = n - before
+        v = len(self.words)
+        single = (n[:v] + strength / size) / (total + strength)
+        return -np.log2((n[v + 1 :] + strength * single[self.pair_word]) / (before[self.pair_before] + strength))[self.pair]
 
 
-def _messages(chunk, bucket, a, b, c=None, d=None) -> pa.RecordBatch:
-    none = [None] * len(bucket)
+def _messages(at, chunk, bucket, *columns) -> pa.RecordBatch:
+    none = [None] * len(at)
+    parts = [*columns, *[None] * (5 - len(columns))]
     return pa.RecordBatch.from_arrays(
-        [pa.array(chunk, pa.int64()), pa.array(bucket, pa.int32()), *(pa.array(none if x is None else x, pa.binary()) for x in (a, b, c, d))], names=_NAMES
+        [pa.array(at, pa.int64()), pa.array(chunk, pa.int64()), pa.array(bucket, pa.int32()), *(pa.array(none if x is None else x, pa.binary()) for x in parts)], names=_NAMES
     )
 
 
 def _ask(docs: DataFrame, words: Vocabulary, buckets: int) -> DataFrame:
-    """For each chunk its own words (a bucket below 0), and a row of entries and counts for each bucket."""
+    """For each chunk its own words, and a row of entries and counts for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = 0
@@ -178,14 +189,16 @@ def _ask(docs: DataFrame, words: Vocabulary, buckets: int) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, keys.schema) as out:
                 out.write_table(keys)
-            yield _messages([chunk], [-1 - chunk % 1_000_003 % buckets], [sink.getvalue().to_pybytes()], [_pack(distinct)], [_pack(n_words.astype(np.int64))], [_pack(token.astype(np.uint32))])
-            n, chosen = e.counts().astype(np.uint32), e.counts(np.repeat(marks, n_words)).astype(np.uint32)
+            yield _messages([chunk], [chunk], [-1], [sink.getvalue().to_pybytes()], [_pack(distinct)], [_pack(n_words.astype(np.int64))], [_pack(token.astype(np.uint32))])
+            counts = [x.astype(np.uint32) for x in (*e.counts(), *e.counts(np.repeat(marks, n_words)))]
             bucket = ((e.hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(edges))
             for i in range(0, len(some), 64):
-                spans = [(int(edges[b]), int(edges[b + 1])) for b in some[i : i + 64]]
-                yield _messages([chunk] * len(spans), some[i : i + 64], [_pack(np.diff(e.hashes[x:y], prepend=np.uint64(0))) for x, y in spans], [_pack(n[x:y]) for x, y in spans], [_pack(chosen[x:y]) for x, y in spans])
+                to = some[i : i + 64]
+                spans = [(int(edges[b]), int(edges[b + 1])) for b in to]
+                hashes = [_pack(np.diff(e.hashes[x:y], prepend=np.uint64(0))) for x, y in spans]
+                yield _messages(-1 - to, [chunk] * len(to), to, hashes, *([_pack(n[x:y]) for x, y in spans] for n in counts))
 
         for batch in batches:
             texts, marks = no_nulls(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
@@ -203,18 +216,19 @@ def _ask(docs: DataFrame, words: Vocabulary, buckets: int) -> DataFrame:
 
 
 def _add(asked: pa.Table) -> pa.Table:
-    """The sums of one bucket, for each chunk in the order it asked. A chunk's own words pass."""
-    if asked.column("bucket")[0].as_py() < 0:
-        return asked
+    """The sums of one bucket, for each chunk in the order it asked; nothing for a chunk's own words."""
+    if asked.column("at")[0].as_py() >= 0:
+        return asked.slice(0, 0)
     hashes = [np.cumsum(_unpack(x.as_py(), np.uint64), dtype=np.uint64) for x in asked.column("a")]
     edges = np.cumsum([len(h) for h in hashes])[:-1]
     found, at = np.unique(np.concatenate(hashes), return_inverse=True)
     out = []
-    for c in ("b", "c"):
+    for c in _COUNTS:
         n = np.concatenate([_unpack(x.as_py(), np.uint32) for x in asked.column(c)])
         sums = np.bincount(at, n, len(found)).astype(np.uint64)
         out.append([_pack(x) for x in np.split(sums[at], edges)])
-    return pa.Table.from_batches([_messages(asked.column("chunk").to_pylist(), asked.column("bucket").to_pylist(), None, *out)])
+    chunks = asked.column("chunk").to_pylist()
+    return pa.Table.from_batches([_messages(chunks, chunks, asked.column("bucket").to_pylist(), None, *out)])
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", vocabulary_size: int | None = None) -> DataFrame:
@@ -234,18 +248,23 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         marked = materialize(marked, "marked")  # chunks must be the same if a task is run again
     words = vocabulary(word_counts(marked, text), vocabulary_size)
     schema = T.StructType([docs.schema[key], T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("ce_target", "ce_background", "ce_difference"))])
+    types = [f.type for f in to_arrow_schema(schema)]
     size, total, total_target = words.size, words.total, words.total_target
 
-    def finish(told: pa.Table) -> pa.Table:
-        told = told.sort_by("bucket")
-        head = told.slice(0, 1).to_pylist()[0]
+    def finish(asked: pa.Table, told: pa.Table) -> pa.Table:
+        if not len(asked) or asked.column("at")[0].as_py() < 0:
+            return pa.Table.from_arrays([pa.array([], f) for f in types], names=[f.name for f in schema])
+        head, told = asked.to_pylist()[0], told.sort_by("bucket")
         keys = pa.ipc.open_stream(head["a"]).read_all().column("key")
         n_words = _unpack(head["c"], np.int64)
         e = Entries(_unpack(head["b"], np.uint64), _unpack(head["d"], np.uint32).astype(np.int64), n_words)
-        n, chosen = (np.concatenate([_unpack(x.as_py(), np.uint64) for x in told.column(c).slice(1)]) for c in ("b", "c"))
+        n, ends, chosen, chosen_ends = (np.concatenate([_unpack(x.as_py(), np.uint64) for x in told.column(c)]) for c in _COUNTS)
         owner, some = np.repeat(np.arange(len(n_words)), n_words), np.maximum(n_words, 1)
-        a, b = (np.bincount(owner, e.losses(x, size, t), len(n_words)) / some for x, t in ((chosen, total_target), (n, total)))
+        a, b = (np.bincount(owner, e.losses(x, y, size, t), len(n_words)) / some for x, y, t in ((chosen, chosen_ends, total_target), (n, ends, total)))
         return pa.Table.from_arrays([keys, pa.array(n_words), pa.array(a), pa.array(b), pa.array(a - b)], names=[f.name for f in schema])
 
     buckets = max(1, total // BUCKET)
-    return _ask(marked, words, buckets).groupBy("bucket").applyInArrow(_add, _MESSAGE).groupBy("chunk").applyInArrow(finish, schema)
+    # one exchange of what is asked serves both: the buckets that add up, and the chunks that wait for the answers
+    asked = _ask(marked, words, buckets)
+    answers = asked.groupBy("at").applyInArrow(_add, _MESSAGE)
+    return asked.groupBy("at").cogroup(answers.groupBy("at")).applyInArrow(finish, schema)
