@@ -22,6 +22,30 @@ from vectrill.operators.transforms import PCA, sample_matrix
 
 #: Up to so many numbers of centroids are written into an expression; more are sent to Arrow batches.
 INLINE = 1024
+#: Rows times centroids that are compared at a time in a task.
+PRODUCTS = 1 << 22
+
+
+def nearest(x: np.ndarray, c: np.ndarray, norms: np.ndarray, similarity: bool = False, products: int = PRODUCTS) -> np.ndarray:
+    """The number of each row's nearest centroid (the smaller of equals), by blocks of rows and of centroids."""
+    wide = min(len(c), max(1, products // 64))
+    out = np.empty(len(x), np.int64)
+    for at in range(0, len(x), max(1, products // wide)):
+        part = x[at : at + max(1, products // wide)]
+        best, where = np.full(len(part), np.inf), np.zeros(len(part), np.int64)
+        for left in range(0, len(c), wide):
+            d = part @ c[left : left + wide].T
+            d = -d if similarity else norms[left : left + wide] - 2 * d
+            near = d.argmin(axis=1)
+            least = d[np.arange(len(part)), near]
+            better = least < best
+            best[better], where[better] = least[better], left + near[better]
+        out[at : at + len(part)] = where
+    return out
+
+
+def _gaps(x: np.ndarray, c: np.ndarray, near: np.ndarray, similarity: bool) -> np.ndarray:
+    return np.einsum("ij,ij->i", x, c[near]) if similarity else ((x - c[near]) ** 2).sum(axis=1)
 
 
 def _assign_batches(df: DataFrame, centroids: np.ndarray, vec: str, similarity: bool, name: str) -> DataFrame:
@@ -37,9 +61,8 @@ def _assign_batches(df: DataFrame, centroids: np.ndarray, vec: str, similarity:
             if not len(batch):
                 continue
             x = batch.column(vec).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
-            d = x @ c.T
-            near = d.argmax(axis=1) if similarity else (norms - 2 * d).argmin(axis=1)
-            dis = d[np.arange(len(x)), near] if similarity else ((x - c[near]) ** 2).sum(axis=1)
+            near = nearest(x, c, norms, similarity)
+            dis = _gaps(x, c, near, similarity)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(near.astype(np.int32)), pa.array(dis)], names=[*names, name, "dis"])
 
     return df.where(F.col(vec).isNotNull()).select(*names).mapInArrow(run, schema)
@@ -183,7 +206,7 @@ def initial_centroids(x: np.ndarray, k: int, how: str, rng: np.random.Generator,
     return np.array(chosen, float)
 
 
-def _sums(df: DataFrame, c: np.ndarray, vec: str, weight: str | None, similarity: bool) -> tuple[np.ndarray, np.ndarray, float]:
+def _sums(df: DataFrame, c: np.ndarray, vec: str, weight: str | None, similarity: bool, search=nearest) -> tuple[np.ndarray, np.ndarray, float]:
     """Per cluster: weighted sum and weight; and the objective. One row per partition and cluster is gathered."""
     sent = df.sparkSession.sparkContext.broadcast(c)
 
@@ -196,14 +219,8 @@ def _sums(df: DataFrame, c: np.ndarray, vec: str, weight: str | None, similarity
             x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
             if np.isnan(x).any():
                 raise ValueError("vectors with NaN components can't be clustered")
-            d = x @ c.T
-            if similarity:
-                near = d.argmax(axis=1)
-                objective += float((w * d[np.arange(len(x)), near]).sum())
-            else:
-                d = norms - 2 * d
-                near = d.argmin(axis=1)
-                objective += float((w * ((x - c[near]) ** 2).sum(axis=1)).sum())
+            near = search(x, c, norms, similarity)
+            objective += float((w * _gaps(x, c, near, similarity)).sum())
             np.add.at(sums, near, x * w[:, None])
             np.add.at(sizes, near, w)
         some = np.flatnonzero(sizes)
@@ -237,21 +254,55 @@ def fit_progressive(df: DataFrame, k: int, steps: int = 10, rounds: int = 10, ve
     return model
 
 
-def fit_two_level(df: DataFrame, k: int, rounds: int = 10, vec: str = "vec", seed: int = 1234) -> np.ndarray:
-    """About sqrt(k) coarse clusters, each divided in proportion to its size; k centroids."""
+def fit_two_level(df: DataFrame, k: int, rounds: int = 10, vec: str = "vec", seed: int = 1234, most_points: int = 256) -> np.ndarray:
+    """About sqrt(k) coarse clusters, each divided in proportion to its size; k centroids.
+
+    All clusters are divided at once: a round is one pass, in which a row is compared with the centroids of its own
+    coarse cluster only. The first centroids come from a sample of ``most_points`` rows for each; a cluster with fewer
+    sampled rows than its share gets so many.
+    """
     coarse = max(1, int(np.sqrt(k)))
-    first = KMeans(coarse, rounds, seed=seed).fit(df, vec)
-    parts = first.assign(df, vec)
-    sizes = {r["list_no"]: r["count"] for r in parts.groupBy("list_no").count().collect()}
-    total = sum(sizes.values())
-    cuts = np.rint(np.cumsum([sizes.get(i, 0) for i in range(coarse)]) * k / total).astype(int)
-    want = np.diff(np.r_[0, cuts])
-    rows = []
-    for i, n in enumerate(want):
-        if n:
-            n = min(int(n), sizes[i])
-            rows.append(KMeans(n, rounds, seed=seed).fit(parts.where(F.col("list_no") == i), vec).centroids)
-    return np.concatenate(rows)
+    first = KMeans(coarse, rounds, seed=seed).fit(df, vec).centroids
+    sizes = _sums(df, first, vec, None, False)[1]
+    want = np.diff(np.r_[0, np.rint(np.cumsum(sizes) * k / sizes.sum()).astype(int)])
+    x = sample_matrix(df, vec, max(k, most_points * k))
+    cell, rng = nearest(x, first, (first * first).sum(axis=1)), np.random.default_rng(seed)
+    starts = [initial_centroids(x[cell == i], min(int(n), int((cell == i).sum())), "random", rng) for i, n in enumerate(want)]
+    edges = np.r_[0, np.cumsum([len(part) for part in starts])]
+    c = np.concatenate([part for part in starts if len(part)])
+    # rows of a cluster without a share go to the nearest coarse cluster that has one
+    divided = np.flatnonzero(np.diff(edges))
+    search = _within(first[divided], edges[np.r_[divided, len(want)]])
+    before = None
+    for _ in range(rounds):
+        sums, sizes, objective = _sums(df, c, vec, None, False, search)
+        new, some = c.copy(), sizes > 0
+        new[some] = sums[some] / sizes[some, None]
+        for i in range(len(divided)):
+            mine = slice(edges[divided[i]], edges[divided[i] + 1])
+            split_empty(new[mine], sizes[mine].copy(), rng)
+        c = new
+        if objective == before:
+            break
+        before = objective
+    return c
+
+
+def _within(first: np.ndarray, edges: np.ndarray) -> Callable[..., np.ndarray]:
+    """A search for the nearest centroid among those of the nearest of ``first``: ``edges`` tells where each one's begin."""
+    lengths = (first * first).sum(axis=1)
+
+    def search(x: np.ndarray, c: np.ndarray, norms: np.ndarray, similarity: bool = False) -> np.ndarray:
+        cell = nearest(x, first, lengths)
+        order = np.argsort(cell, kind="stable")
+        bounds = np.searchsorted(cell[order], np.arange(len(first) + 1))
+        out = np.empty(len(x), np.int64)
+        for i in np.flatnonzero(np.diff(bounds)):
+            rows, mine = order[bounds[i] : bounds[i + 1]], slice(edges[i], edges[i + 1])
+            out[rows] = edges[i] + nearest(x[rows], c[mine], norms[mine], similarity)
+        return out
+
+    return search
 
 
 def kmeans_1d(values: np.ndarray, k: int, weights: np.ndarray | None = None) -> np.ndarray:

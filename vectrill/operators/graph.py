@@ -57,6 +57,20 @@ def best_first(x: np.ndarray, links: list[np.ndarray], q: np.ndarray, entries: l
     return sorted((-d, -n) for d, n in found)
 
 
+def all_within(x: np.ndarray, links: list[np.ndarray], q: np.ndarray, found: list[tuple[float, int]], radius: float, which: str = "l2") -> list[tuple[float, int]]:
+    """What is nearer than ``radius`` among the found nodes, and what links lead to from there within it."""
+    measure, out = METRICS[which], [f for f in found if f[0] < radius]
+    seen, open_ = {n for _, n in found}, [n for _, n in out]
+    while open_:
+        fresh = [int(n) for n in links[open_.pop()] if int(n) not in seen]
+        seen.update(fresh)
+        for d, n in zip(measure(x[fresh], q).tolist() if fresh else (), fresh, strict=True):
+            if d < radius:
+                out.append((d, n))
+                open_.append(n)
+    return sorted(out)
+
+
 def spread_out(x: np.ndarray, candidates: list[tuple[float, int]], most: int, which: str = "l2") -> list[int]:
     """From near to far, those that aren't nearer to one already kept than to the node itself."""
     kept: list[int] = []
@@ -119,6 +133,9 @@ class SmallWorld:
             at = [best_first(self.x, self.links[level], q, at, 1, self.which)[0][1]]
         return best_first(self.x, self.links[0], q, at, max(ef, k), self.which)[:k]
 
+    def within(self, q: np.ndarray, radius: float, ef: int = 16) -> list[tuple[float, int]]:
+        return all_within(self.x, self.links[0], q, self.search(q, ef, ef), radius, self.which)
+
     def edges(self, ids: np.ndarray) -> pd.DataFrame:
         rows = [(ids[s], level, r, ids[t]) for level, table in enumerate(self.links) for s, targets in enumerate(table) for r, t in enumerate(targets)]
         return pd.DataFrame(rows, columns=["src", "level", "rank", "dst"])
@@ -181,11 +198,29 @@ class SpreadGraph:
         return best_first(self.x, self.links, q, [self.entry], max(ef, k), self.which)[:k]
 
 
+    def within(self, q: np.ndarray, radius: float, ef: int = 16) -> list[tuple[float, int]]:
+        return all_within(self.x, self.links, q, self.search(q, ef, ef), radius, self.which)
+
+
 def graph_knn(queries: DataFrame, base: DataFrame, k: int, ef: int = 64, kind: str = "hnsw", m: int = 16, shard_rows: int = 100_000, most_queries: int = 20_000, which: str = "l2") -> DataFrame:
     """k-NN by a graph per shard; a shard has about ``shard_rows`` rows. ``kind``: hnsw or nsg; ``which``: l2 or ip.
 
     Queries are sent to all tasks, in several passes beyond ``most_queries``.
     """
+    found = _by_shards(queries, base, lambda g, q: g.search(q, k, ef), kind, m, shard_rows, most_queries, which)
+    return top_k(found, k, descending=which == "ip").select("qid", "rank", "id", "dis")
+
+
+def graph_range(queries: DataFrame, base: DataFrame, radius: float, ef: int = 64, kind: str = "hnsw", m: int = 16, shard_rows: int = 100_000, most_queries: int = 20_000, which: str = "l2") -> DataFrame:
+    """(qid, id, dis): rows strictly nearer than ``radius`` (more similar, for ip) that the graphs lead to, as in :func:`graph_knn`.
+
+    From the ``ef`` nearest nodes found, links are followed as long as they stay within the radius.
+    """
+    bound = -radius if which == "ip" else radius
+    return _by_shards(queries, base, lambda g, q: g.within(q, bound, ef), kind, m, shard_rows, most_queries, which)
+
+
+def _by_shards(queries: DataFrame, base: DataFrame, ask, kind: str, m: int, shard_rows: int, most_queries: int, which: str) -> DataFrame:
     if which not in METRICS:
         raise ValueError(f"no graph search by {which}")
     n = base.count()
@@ -197,18 +232,18 @@ def graph_knn(queries: DataFrame, base: DataFrame, k: int, ef: int = 64, kind: s
         part = queries.select("qid", D.as_double(F.col("qvec")).alias("qvec")).where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toPandas()
         sent = spark.sparkContext.broadcast((part["qid"].to_numpy(), [np.asarray(v) for v in part["qvec"]]))
 
-        mine = sharded.groupBy("_shard").applyInPandas(_shard_search(sent, k, ef, kind, m, which), "qid long, id long, dis double")
+        mine = sharded.groupBy("_shard").applyInPandas(_shard_search(sent, ask, kind, m, which), "qid long, id long, dis double")
         found = mine if found is None else found.union(mine)
-    return top_k(found, k, descending=which == "ip").select("qid", "rank", "id", "dis")
+    return found
 
 
-def _shard_search(sent, k: int, ef: int, kind: str, m: int, which: str):
+def _shard_search(sent, ask, kind: str, m: int, which: str):
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
         x, ids = np.stack(rows["vec"].to_numpy()), rows["id"].to_numpy()
         graph = (SmallWorld(m, which=which) if kind == "hnsw" else SpreadGraph(2 * m, which=which)).build(x)
         sign = -1.0 if which == "ip" else 1.0
-        out = [(qid, ids[i], sign * d) for qid, q in zip(*sent.value, strict=True) for d, i in graph.search(q, k, ef)]
+        out = [(qid, ids[i], sign * d) for qid, q in zip(*sent.value, strict=True) for d, i in ask(graph, q)]
         return pd.DataFrame(out, columns=["qid", "id", "dis"])
 
     return search

@@ -357,19 +357,19 @@ class Index:
             return G.graph_knn(q, rows if selector is None else selector.apply(rows), k, ef, plan.coarse.kind, plan.coarse["m"], which=self.which)
         return S.knn(q, rows, k, self.which, selector=selector)
 
-    def range_search(self, queries: DataFrame, radius: float, nprobe: int = 1, selector=None) -> DataFrame:
+    def range_search(self, queries: DataFrame, radius: float, nprobe: int = 1, selector=None, ef: int = 64) -> DataFrame:
         if self.plan.row_scale:
             raise UnsupportedPlan("a row-wise scaled table is a codec; decode it to search")
-        if self.plan.coarse is not None and self.plan.coarse.kind in ("hnsw", "nsg"):
-            raise UnsupportedPlan("range search over a graph")
         rows = self.rows if selector is None else selector.apply(self.rows)
         if self.plan.binary:
             return B.range_join(queries, rows, int(radius))
-        found = self._range(queries, rows, radius, nprobe, selector)
+        found = self._range(queries, rows, radius, nprobe, selector, ef)
         return found if self.plan.refine is None else I.refine_range(found, queries, self.originals, self.which)
 
-    def _range(self, queries: DataFrame, rows: DataFrame, radius: float, nprobe: int, selector) -> DataFrame:
-        q = self._queries(queries)
+    def _range(self, queries: DataFrame, rows: DataFrame, radius: float, nprobe: int, selector, ef: int) -> DataFrame:
+        q, coarse = self._queries(queries), self.plan.coarse
+        if coarse is not None and coarse.kind in ("hnsw", "nsg"):
+            return G.graph_range(q, rows, radius, ef, coarse.kind, coarse["m"], which=self.which)
         if self.plan.code.kind == "lsh":
             return B.range_join(self.codec.encode(q, "qvec", "code").drop("qvec").withColumnRenamed("code", "qvec"), rows, int(radius))
         if isinstance(self.codec, _Spectral):
