@@ -21,6 +21,9 @@ from vectrill.operators.search import QUERY_BLOCK, ROW_BLOCK
 from vectrill.operators.selectors import Selector
 from vectrill.operators.topk import top_k
 
+#: Centroids of more bytes are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+
 
 def probe(queries: DataFrame, centroids: DataFrame, nprobe: int, which: str = "l2") -> DataFrame:
     """(qid, qvec, list_no, probe, coarse): the ``nprobe`` best lists of each query. ``centroids`` are (list_no, centroid)."""
@@ -54,7 +57,8 @@ class Inverted:
         table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(np.asarray(centroids, float))], "list_no int, centroid array<double>")
         lists = assign_to(base, np.asarray(centroids, float), "vec", similarity).drop("dis")
         if residual:
-            lists = lists.join(F.broadcast(table), "list_no").withColumn("vec", V.subtract(F.col("vec"), F.col("centroid"))).drop("centroid")
+            few = F.broadcast(table) if np.asarray(centroids, float).nbytes <= BROADCAST_BYTES else table
+            lists = lists.join(few, "list_no").withColumn("vec", V.subtract(F.col("vec"), F.col("centroid"))).drop("centroid")
         return cls(table, lists, which, residual)
 
     def add(self, rows: DataFrame) -> Inverted:
