@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from vectrill.functions import distances as D
 from vectrill.functions import vectors as V
+from vectrill.operators.blocks import pairs
 from vectrill.operators.clustering import assign_to
-from vectrill.operators.search import QUERY_BLOCK, ROW_BLOCK
+from vectrill.operators.search import QUERY_BLOCK, ROW_BLOCK, kernel_of
 from vectrill.operators.selectors import Selector
 from vectrill.operators.topk import top_k
+from vectrill.runtime import materialize
 
 #: Centroids of more bytes are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
@@ -92,7 +94,26 @@ class Inverted:
 
     def search(self, queries: DataFrame, k: int, nprobe: int = 1, **how) -> DataFrame:
         """(qid, rank, id, dis, list_no)."""
-        return top_k(self.scan(self.probe(queries, nprobe), **how), k, descending=D.metric(self.which).similarity).select("qid", "rank", "id", "dis", "list_no")
+        found = self._nearest(queries, k, nprobe, **how) if set(how) <= {"selector"} and (self.which == "l2" or not self.residual) else None
+        if found is None:
+            found = self.scan(self.probe(queries, nprobe), **how)
+        return top_k(found, k, descending=D.metric(self.which).similarity).select("qid", "rank", "id", "dis", "list_no")
+
+    def _nearest(self, queries: DataFrame, k: int, nprobe: int, selector: Selector | None = None) -> DataFrame | None:
+        """The nearest of each task's rows, measured in blocks of a list's rows and its queries; None if the metric has no kernel."""
+        kernel = kernel_of(D.metric(self.which))
+        if kernel is None:
+            return None
+
+        def plain(q: DataFrame, rows: DataFrame) -> DataFrame:
+            probes = q.select("qid", "qvec", F.explode("lists").alias("list_no")).join(F.broadcast(self.centroids), "list_no")
+            return Inverted(self.centroids, rows, self.which, self.residual).scan(probes)
+
+        probing = self.probe(queries, nprobe).groupBy("qid").agg(F.first("qvec").alias("qvec"), F.collect_list("list_no").alias("lists"))
+        centres = {r["list_no"]: np.array(r["centroid"], float) for r in self.centroids.collect()} if self.residual else None
+        # written once, as the ways to lists and codes are long expressions
+        rows = materialize((self.lists if selector is None else selector.apply(self.lists)).select("id", "vec", "list_no"), "lists")
+        return pairs(materialize(probing, "probes"), rows, kernel, plain, k=k, centroids=centres)
 
     def range_search(self, queries: DataFrame, radius: float, nprobe: int = 1, **how) -> DataFrame:
         similarity = D.metric(self.which).similarity
