@@ -243,9 +243,16 @@ def search_two_views(queries: DataFrame, base: DataFrame, centroids: np.ndarray,
     lists = assign_to(base, np.asarray(centroids, float), "coarse_vec", similarity).drop("dis", "coarse_vec")
     table = base.sparkSession.createDataFrame([(i, np.asarray(c, float).tolist()) for i, c in enumerate(centroids)], "list_no int, centroid array<double>")
     probes = probe(queries.select("qid", F.col("qcoarse").alias("qvec")), table, nprobe, which).select("qid", "list_no")
-    found = probes.join(queries.select("qid", "qvec"), "qid").join(lists, "list_no")
     m = D.metric(which)
-    return top_k(found.select("qid", "id", m(F.col("qvec"), F.col("vec")).alias("dis")), k, descending=similarity).select("qid", "rank", "id", "dis")
+
+    def plain(q: DataFrame, rows: DataFrame) -> DataFrame:
+        found = q.select("qid", "qvec", F.explode("lists").alias("list_no")).join(rows, "list_no")
+        return found.select("qid", "id", m(F.col("qvec"), F.col("vec")).alias("dis"), "list_no")
+
+    probing = probes.groupBy("qid").agg(F.collect_list("list_no").alias("lists")).join(queries.select("qid", "qvec"), "qid")
+    kernel = kernel_of(m)
+    found = plain(probing, lists) if kernel is None else pairs(materialize(probing, "probes"), materialize(lists.select("id", "vec", "list_no"), "lists"), kernel, plain, k=k)
+    return top_k(found, k, descending=similarity).select("qid", "rank", "id", "dis")
 
 
 def random_results(queries: DataFrame, n: int, k: int, seed: int = 1234) -> DataFrame:
