@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectrill.functions import distances as D
 from vectrill.functions import vectors as V
+from vectrill.operators import blocks as K
+from vectrill.operators.topk import top_k
+from vectrill.runtime import materialize
 
 
 def encode(df: DataFrame, center: Column, vec: str = "vec", bits: int = 1) -> DataFrame:
@@ -41,6 +45,35 @@ def estimate(bits: Column, or_c: Column, multiplier: Column, residual: Column, l
     return or_c + D.norm_squared(residual) - F.lit(2.0) * multiplier * dot
 
 
+def _estimated(q: np.ndarray, row: np.ndarray, arg: float | None) -> np.ndarray:
+    """:func:`estimate` of queries (residual, its squared norm, 0) and rows (code, ``or_c``, ``multiplier``)."""
+    dot = K.inner_product(q[:-2], row[:-2], arg) / np.sqrt(len(q) - 2.0)
+    return row[-2] + q[-2] - 2.0 * row[-1] * dot
+
+
+def _estimate_bound(q: np.ndarray, row: np.ndarray, arg: float | None) -> tuple[np.ndarray, np.ndarray]:
+    d = q.shape[1] - 2
+    scale = 2.0 * np.abs(row[:, -1]) / np.sqrt(d)
+    sizes = row[:, -2] + q[:, -2, None] + scale * (np.abs(q[:, :-2]).sum(axis=1)[:, None] * np.abs(row[:, :-2]).max(axis=1))
+    return row[:, -2] + q[:, -2, None] - 2.0 * row[:, -1] / np.sqrt(d) * (q[:, :-2] @ row[:, :-2].T), 8 * (d + 8) * K.EPS * sizes
+
+
+def knn(queries: DataFrame, coded: DataFrame, k: int, levels: int = 1, digits: int | None = None) -> DataFrame:
+    """The k nearest coded rows by :func:`estimate`; ``queries`` are (qid, r), the residuals. Distances may be rounded."""
+    code = F.transform("bits", lambda b: (b + 0.5 - levels) * 2)
+    rows = materialize(coded.select("id", F.concat(code, F.array("or_c", "multiplier")).alias("vec")), "codes")
+    q = queries.select("qid", F.concat("r", F.array(D.norm_squared(F.col("r")), F.lit(0.0))).alias("qvec"))
+
+    def plain(some: DataFrame, base: DataFrame) -> DataFrame:
+        none = F.size("vec") != F.size("qvec")  # other lengths have no estimate
+        return base.crossJoin(some).select("qid", "id", F.when(none, F.lit(None)).cast("double").alias("dis"))
+
+    slack = 0.0 if digits is None else 1.01 * 10.0**-digits
+    found = K.pairs(q, rows, K.Kernel(_estimated, _estimate_bound), plain, k=k, slack=slack)
+    found = found if digits is None else found.withColumn("dis", F.round("dis", digits) + F.lit(0.0))
+    return top_k(found, k).select("qid", "rank", "id", "dis")
+
+
 def lower_bound(estimated: Column, row_error: Column, query_error: Column) -> Column:
     return F.greatest(F.lit(0.0), estimated - row_error * query_error)
 

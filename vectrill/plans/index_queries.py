@@ -286,10 +286,8 @@ p as (select qid, id, or_c + {sql.fold("list_transform(q.r, lambda v: v * v)")}
 def knn_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir).select("id", "vec")
     center = _center(b)
-    q = asked(b).withColumn("r", V.subtract(F.col("qvec"), center)).select("qid", "r")
-    pairs = rabitq.encode(b, center).crossJoin(F.broadcast(q))
-    scored = pairs.select("qid", "id", (F.round(rabitq.estimate(F.col("bits"), F.col("or_c"), F.col("multiplier"), F.col("r")), 6) + F.lit(0.0)).alias("dis"))
-    return top_k(scored, 5).select("qid", "rank", "id", "dis")
+    q = asked(b).select("qid", V.subtract(F.col("qvec"), center).alias("r"))
+    return rabitq.knn(q, rabitq.encode(b, center), 5, digits=6)
 
 
 @query("spectral_bits", f"with m as materialized (select {_MEAN} as m) select vec_id as id, list_transform({_RES}, lambda v: (floor(v * (2.0 / 0.5))::bigint & 1)::int) as bits from embeddings, m")
