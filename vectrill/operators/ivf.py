@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from vectrill.functions import distances as D
 from vectrill.functions import vectors as V
-from vectrill.operators.blocks import pairs
+from vectrill.operators.blocks import ahead, pairs
 from vectrill.operators.clustering import assign_to
-from vectrill.operators.search import QUERY_BLOCK, ROW_BLOCK, kernel_of
+from vectrill.operators.search import QUERY_BLOCK, ROW_BLOCK, all_pairs, distances_to, kernel_of, knn
 from vectrill.operators.selectors import Selector
 from vectrill.operators.topk import top_k
 from vectrill.runtime import materialize
@@ -180,6 +180,31 @@ def refine(found: DataFrame, queries: DataFrame, base: DataFrame, k: int, which:
     return top_k(exact, k, descending=m.similarity).select("qid", "rank", "id", "dis")
 
 
+def knn_refined(queries: DataFrame, coded_queries: DataFrame, coded: DataFrame, base: DataFrame, k: int, wide: int, which: str = "l2") -> DataFrame:
+    """:func:`refine` of the ``wide`` best by code (of ``coded_queries`` against ``coded``), without making all of these.
+
+    The k best of all rows are what refinement finds wherever they are among the ``wide`` best by code: how many
+    rows the codes put ahead of the last of them is counted in blocks. Queries where that doesn't hold are
+    searched by code and refined. ``coded`` has the ids of ``base``.
+    """
+    m = D.metric(which)
+    kernel, plain = kernel_of(m), lambda q, b: all_pairs(q, b, m)
+    coded = materialize(coded.select("id", "vec"), "codes")
+    near = materialize(knn(queries, base, k, m), "near")
+    key = F.col("dis")
+    if m.similarity:  # the largest first: NaN, numbers
+        key = F.when(F.isnan("dis"), F.lit(float("-inf"))).otherwise(-key)
+    last = distances_to(near.select("qid", "id"), coded_queries, coded, m).groupBy("qid").agg(F.max(F.struct(key.alias("k"), "id")).alias("last"))
+    edges = materialize(coded_queries.join(last, "qid").select("qid", "qvec", F.col("last.k").alias("edge"), F.col("last.id").alias("edge_id")), "edges")
+    regular = edges.where(F.col("edge").isNotNull())
+    sure = materialize(ahead(regular, coded, kernel, plain).where(F.col("n") < wide).select("qid"), "sure")
+    rest = coded_queries.join(sure, "qid", "left_anti")
+    if rest.isEmpty():
+        return near
+    found = refine(knn(rest, coded, wide, m), queries, base, k, which)
+    return near.join(sure, "qid", "left_semi").unionByName(found)
+
+
 def refine_range(found: DataFrame, queries: DataFrame, base: DataFrame, which: str = "l2") -> DataFrame:
     """Range results with exact distances; the radius isn't applied again."""
     m = D.metric(which)

@@ -29,6 +29,10 @@ from vectrill.operators.codecs.exotic import Lattice
 from vectrill.operators.topk import top_k
 
 
+#: Beyond so many candidates for refinement, it is counted whether the nearest rows are among them, and they aren't made.
+WIDE = 1_000
+
+
 class UnknownDescription(ValueError):
     """No production fits; the message names the part."""
 
@@ -314,7 +318,11 @@ def _codec(n: Node, d: int):
 
 @dataclass
 class Index:
-    """A built plan. ``search`` and ``range_search`` take queries (qid, qvec) in the original space."""
+    """A built plan. ``search`` and ``range_search`` take queries (qid, qvec) in the original space.
+
+    Of a scan of codes, the ``k * k_factor`` best are refined; with an infinite factor all rows are, in whatever order
+    their codes put them.
+    """
 
     plan: Plan
     which: str = "l2"
@@ -332,10 +340,20 @@ class Index:
     def search(self, queries: DataFrame, k: int, nprobe: int = 1, k_factor: float = 1.0, ef: int = 64, selector=None, flips: int = 0) -> DataFrame:
         if self.plan.row_scale:
             raise UnsupportedPlan("a row-wise scaled table is a codec; decode it to search")
+        chosen = (lambda df: df) if selector is None else selector.apply
+        if self.plan.refine is not None and k_factor == np.inf and self._scans_codes():
+            return S.knn(queries, chosen(self.originals), k, self.which)
         wide = k if self.plan.refine is None else max(k, int(np.ceil(k * k_factor)))
+        if wide > max(k, WIDE) and self._scans_codes():
+            return I.knn_refined(queries, self._queries(queries), chosen(self.rows), chosen(self.originals), k, wide, self.which)
         found = self._search(queries, wide, nprobe, ef, selector, flips)
         return found if self.plan.refine is None else I.refine(found, queries, self.originals, k, self.which)
 
+    def _scans_codes(self) -> bool:
+        """Whether a search measures what all rows' codes decode to."""
+        plan = self.plan
+        return not plan.binary and plan.code.kind != "lsh" and plan.coarse is None and S.kernel_of(D.metric(self.which)) is not None
+
     def _search(self, queries: DataFrame, k: int, nprobe: int, ef: int, selector, flips: int) -> DataFrame:
         plan, rows = self.plan, self.rows
         if plan.binary:
