@@ -6,18 +6,21 @@ partitions. Probes are a table ``(qid, qvec, list_no, probe)``, and the scan is
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectrill.functions import distances as D
 from vectrill.functions import vectors as V
-from vectrill.operators.blocks import ahead, pairs
-from vectrill.operators.clustering import assign_to
+from vectrill.operators.blocks import KERNELS, ahead, exact_matrix, pairs
+from vectrill.operators.clustering import INLINE, assign_to
 from vectrill.operators.search import QUERY_BLOCK, ROW_BLOCK, all_pairs, distances_to, kernel_of, knn
 from vectrill.operators.selectors import Selector
 from vectrill.operators.topk import top_k
@@ -43,6 +46,32 @@ def limit_rows(probes: DataFrame, lists: DataFrame, most: int) -> DataFrame:
     return seen.where(F.col("_seen") < most).drop("_n", "_seen")
 
 
+def _assigned(base: DataFrame, centroids: np.ndarray, similarity: bool) -> DataFrame:
+    """``base`` with the ``list_no`` that :func:`assign_to` gives, by the same numbers, measured in blocks."""
+    if centroids.size > INLINE or "list_no" in base.columns:
+        return assign_to(base, centroids, "vec", similarity).drop("dis")
+    kernel, names = KERNELS["ip" if similarity else "l2"], base.columns
+    schema = T.StructType([*base.schema.fields, T.StructField("list_no", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vec = batch.column(names.index("vec"))
+            near = np.zeros(len(batch), np.int32)  # also of vectors that have NULL or another length
+            own = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(vec), centroids.shape[1]), False).to_numpy(zero_copy_only=False))
+            flat = pc.list_flatten(vec.take(pa.array(own)))
+            if flat.null_count:
+                there = flat.is_valid().to_numpy(zero_copy_only=False).reshape(len(own), -1).all(axis=1)
+                own, flat = own[there], flat.filter(pa.array(np.repeat(there, centroids.shape[1])))
+            if len(own):
+                x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
+                with np.errstate(all="ignore"):
+                    d = exact_matrix(kernel, x, centroids, None)
+                near[own] = np.lexsort((-d if similarity else d, np.isnan(d)), axis=1)[:, 0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near)], names=[*names, "list_no"])
+
+    return base.mapInArrow(run, schema)
+
+
 @dataclass
 class Inverted:
     """Lists with the centroids that made them. ``residual`` rows hold vectors minus their list's centroid."""
@@ -57,7 +86,7 @@ class Inverted:
         similarity = D.metric(which).similarity
         spark = base.sparkSession
         table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(np.asarray(centroids, float))], "list_no int, centroid array<double>")
-        lists = assign_to(base, np.asarray(centroids, float), "vec", similarity).drop("dis")
+        lists = _assigned(base, np.asarray(centroids, float), similarity)
         if residual:
             few = F.broadcast(table) if np.asarray(centroids, float).nbytes <= BROADCAST_BYTES else table
             lists = lists.join(few, "list_no").withColumn("vec", V.subtract(F.col("vec"), F.col("centroid"))).drop("centroid")
@@ -109,11 +138,15 @@ class Inverted:
             probes = q.select("qid", "qvec", F.explode("lists").alias("list_no")).join(F.broadcast(self.centroids), "list_no")
             return Inverted(self.centroids, rows, self.which, self.residual).scan(probes)
 
-        probing = self.probe(queries, nprobe).groupBy("qid").agg(F.first("qvec").alias("qvec"), F.collect_list("list_no").alias("lists"))
+        numbers = [r["list_no"] for r in self.centroids.select("list_no").limit(nprobe + 1).collect()]
+        if len(numbers) <= nprobe:  # all of them, in whatever order
+            probing = queries.select("qid", "qvec", F.array(*map(F.lit, sorted(numbers))).alias("lists"))
+        else:
+            probing = materialize(self.probe(queries, nprobe).groupBy("qid").agg(F.first("qvec").alias("qvec"), F.collect_list("list_no").alias("lists")), "probes")
         centres = {r["list_no"]: np.array(r["centroid"], float) for r in self.centroids.collect()} if self.residual else None
         # written once, as the ways to lists and codes are long expressions
         rows = materialize((self.lists if selector is None else selector.apply(self.lists)).select("id", "vec", "list_no"), "lists")
-        return pairs(materialize(probing, "probes"), rows, kernel, plain, k=k, centroids=centres)
+        return pairs(probing, rows, kernel, plain, k=k, centroids=centres)
 
     def range_search(self, queries: DataFrame, radius: float, nprobe: int = 1, **how) -> DataFrame:
         similarity = D.metric(self.which).similarity
